@@ -216,45 +216,78 @@ def whole_runs(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def pack(*cols: np.ndarray) -> bytes:
-    """Arrays of one length as one compressed blob."""
+    """Integer arrays of one length as one blob; 64-bit signed ones as compressed differences."""
     out = [np.int64(len(cols[0])).tobytes()]
     for c in cols:
-        out.append(np.ascontiguousarray(c).view(np.uint8).tobytes())
-    return zlib.compress(b"".join(out), 1) if len(cols[0]) < 64 else b"\0" + b"".join(out)
+        raw = np.ascontiguousarray(c)
+        if raw.dtype == np.int64:
+            z = zlib.compress(np.diff(raw, prepend=np.int64(0)).tobytes(), 1)
+            out += [np.int64(len(z)).tobytes(), z]
+        else:
+            out.append(raw.tobytes())
+    return b"".join(out)
 
 
 def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:
-    raw = blob[1:] if blob[:1] == b"\0" else zlib.decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
     at, out = 8, []
-    for d in dtypes:
-        d = np.dtype(d)
-        out.append(np.frombuffer(raw, d, n, at))
-        at += n * d.itemsize
+    for d in map(np.dtype, dtypes):
+        if d == np.int64:
+            size = int(np.frombuffer(blob, np.int64, 1, at)[0])
+            out.append(np.cumsum(np.frombuffer(zlib.decompress(blob[at + 8 : at + 8 + size]), np.int64)))
+            at += 8 + size
+        else:
+            out.append(np.frombuffer(blob, d, n, at))
+            at += n * d.itemsize
     return out
 
 
-def by_bucket(keys: np.ndarray, buckets: int):
-    """Order and limits that deal ``keys`` (well mixed 64-bit) to buckets.
+def low48(keys: np.ndarray) -> np.ndarray:
+    """The low 48 bits as rows of six bytes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
-    Yields (bucket, positions); keys come sorted within a bucket.
-    """
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    bucket = bucket_of(sorted_keys, buckets)
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    for part in np.split(order, cut):
-        if len(part):
-            yield int(bucket_of(keys[part[:1]], buckets)[0]), part
+
+def from48(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each well-mixed key, from its high bits (so in the keys' order)."""
     return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def doc_part(df: DataFrame, parts: int, seed: str = "part") -> DataFrame:
-    """``df`` with column ``pid``: a stable part number drawn from the id and text."""
-    return df.withColumn("pid", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(parts)).cast("int"))
+def bucket_runs(sorted_keys: np.ndarray, buckets: int):
+    """(bucket, from, to) of each bucket's run in sorted keys."""
+    b = bucket_of(sorted_keys, buckets)
+    cut = np.flatnonzero(np.diff(b)) + 1
+    edge = np.concatenate(([0], cut, [len(b)])) if len(b) else np.zeros(1, np.int64)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(b[lo]), lo, hi
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate: for a table, the bytes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def in_parts(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
+    """(pid, doc_id, text) and the number of parts: stable parts of about
+    ``part_bytes`` of the stored table, drawn from id and text so that neither
+    null nor repeated ids crowd in one part."""
+    parts = int(min(1_000_000, max(1, -(-size_in_bytes(docs) // part_bytes))))
+    rows = docs.select(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("pid"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    return rows, parts
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """A part's rows in an order that every run of the task finds again."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import audio, chat, hmm, near_dedup, packing, quality, substrings, token_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_token_counts": token_counts.query,
+    "op3_chat_windows": chat.query,
+    "op4_quality": quality.query,
+    "op5_remove_repeats": substrings.query,
+    "op6_hmm_scores": hmm.query,
+    "op8_audio_features": audio.query,
+    "op9_near_duplicates": near_dedup.query,
 }
 SQL: dict[str, str] = {}
