@@ -253,5 +253,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents whose group of near copies has a smaller id.
+
+    All columns are kept. Rows of null id stay; see `near_duplicates` for the rest.
+    """
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)

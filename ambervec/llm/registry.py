@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat, hmm, near_dedup, packing, quality, substrings, token_counts
+from . import audio, chat, decontaminate, hmm, lines, near_dedup, packing, quality, substrings, token_counts
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_remove_repeats": substrings.query,
     "op6_hmm_scores": hmm.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_audio_features": audio.query,
     "op9_near_duplicates": near_dedup.query,
+    "op10_line_dedup": lines.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_decontaminate": decontaminate.SQL}
