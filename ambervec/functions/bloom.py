@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..config import PAGE_SIZE
 from .vectors import _c
@@ -31,7 +32,7 @@ def might_contain(bloom, node_id) -> Column:
     return (F.coalesce(F.size(bloom), F.lit(0)) <= 0) | F.forall(bloom_bits(node_id), lambda bit: F.array_contains(bloom, bit))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def page_checksum(page: pd.Series) -> pd.Series:
     """Fletcher checksum modulo 255 over a page's first 4092 bytes; shorter pages are filled with zeros."""
     n = PAGE_SIZE - 4

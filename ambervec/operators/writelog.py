@@ -202,8 +202,12 @@ class LogTable:
     def manifest(self) -> DataFrame:
         return manifest(self.rows(), level=F.col("level"))
 
-    def compact(self) -> int | None:
-        """Merge the chosen segments of the first level that needs it; the new segment's id, or None."""
+    def compact(self, final: bool = False) -> int | None:
+        """Merge the chosen segments of the first level that needs it; the new segment's id, or None.
+
+        Tombstones stay, since rows older than they may still arrive; ``final`` drops
+        them if all segments are merged.
+        """
         known = self.manifest()
         level = level_tiered_choice(known, self.config)
         level = 0 if level is None else level
@@ -213,7 +217,8 @@ class LogTable:
         new_id = self.next_id()
         rows = self.rows()
         mine = rows.where(F.col("segment_id").isin(chosen))
-        out = merged(mine.drop("segment_id", "level"), rows.where(~F.col("segment_id").isin(chosen)).limit(1).count() == 0)
+        full = final and rows.where(~F.col("segment_id").isin(chosen)).limit(1).count() == 0
+        out = merged(mine.drop("segment_id", "level"), full)
         self.append(out, new_id, level + 1)
         jvm = self.spark.sparkContext._jvm
         for s in chosen:
