@@ -116,17 +116,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A run of four words is unchanged in any 13 words with at most 2 substitutions,
 # so runs of four find all candidates here.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '') AS v FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
 bp AS (SELECT item_id, v, unnest(range(1, len(v) - 2)) AS j FROM b WHERE len(v) >= 4),
 dk AS (SELECT doc_id, i, hash(w[i], w[i+1], w[i+2], w[i+3]) AS k FROM dp),
 bk AS (SELECT item_id, j, hash(v[j], v[j+1], v[j+2], v[j+3]) AS k FROM bp),
 diag AS (SELECT DISTINCT doc_id, item_id, i - j AS g FROM dk JOIN bk USING (k)),
-same AS (SELECT doc_id, item_id, len(v) AS n, list_transform(range(greatest(1, 1 - g), least(len(v), len(w) - g) + 1), p -> CASE WHEN w[p + g] = v[p] THEN 1 ELSE 0 END) AS s FROM diag JOIN d USING (doc_id) JOIN b USING (item_id)),
+same AS (SELECT doc_id, item_id, len(v) AS n, list_transform(range(greatest(1, 1 - g), least(len(v), len(w) - g) + 1), lambda p: CASE WHEN w[p + g] = v[p] THEN 1 ELSE 0 END) AS s FROM diag JOIN d USING (doc_id) JOIN b USING (item_id)),
 hit AS (
   SELECT DISTINCT doc_id, item_id FROM same
-  WHERE (n >= 13 AND len(s) >= 13 AND len(list_filter(range(1, len(s) - 11), o -> list_sum(s[o:o+12]) >= 11)) > 0)
+  WHERE (n >= 13 AND len(s) >= 13 AND len(list_filter(range(1, len(s) - 11), lambda o: list_sum(s[o:o+12]) >= 11)) > 0)
      OR (n BETWEEN 5 AND 12 AND len(s) = n AND list_sum(s) = n))
 SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items
 FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id
