@@ -109,8 +109,9 @@ def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = flagged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "contaminated", "n_items", F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
+    """The documents that hold benchmark passages, each with the items it holds."""
+    found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
 
 
 # A run of four words is unchanged in any 13 words with at most 2 substitutions,
@@ -128,6 +129,5 @@ hit AS (
   SELECT DISTINCT doc_id, item_id FROM same
   WHERE (n >= 13 AND len(s) >= 13 AND len(list_filter(range(1, len(s) - 11), lambda o: list_sum(s[o:o+12]) >= 11)) > 0)
      OR (n BETWEEN 5 AND 12 AND len(s) = n AND list_sum(s) = n))
-SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS items
-FROM d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id
+SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id
 """
