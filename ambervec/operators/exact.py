@@ -50,38 +50,46 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(d) if metric == "l2" else d
 
 
-def blocked_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 1024) -> DataFrame:
-    """Exact search of any number of queries: blocks of queries meet batches of
-    the base as matrix products; each task keeps k rows a query."""
-    blocks = max(1, -(-queries.count() // block))
-    cut = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    out = None
-    for b in range(blocks):
-        rows = cut.where(F.col("block") == b).collect()  # one block of queries
-        if not rows:
-            continue
-        held = base.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.embedding for r in rows], np.float64)))
-
-        def near(batches, held=held):
-            ids, q = held.value
-            best_d, best_id = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
-                if x.ndim != 2 or x.shape[1] != q.shape[1]:
+def _blocks(rows: DataFrame, id_col: str, size: int, name: str) -> DataFrame:
+    """Rows packed in blocks of about ``size``: parallel lists of ids and vectors."""
+    n = max(1, -(-rows.count() // size))
+    block = F.pmod(F.xxhash64(id_col), F.lit(n)).alias("b")
+    packed = rows.select(block, F.struct(F.col(id_col).alias("id"), F.col("embedding").alias("v")).alias("x")).groupBy("b").agg(F.collect_list("x").alias("x"))
+    return packed.select(F.col("x.id").alias(f"{name}_ids"), F.col("x.v").alias(f"{name}_vectors"))
+
+
+def _matrix(lists) -> np.ndarray:
+    sizes = lists.value_lengths().unique()
+    if len(sizes) != 1:
+        raise InvalidArgument("dimension mismatch")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def blocked_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> DataFrame:
+    """Exact search of any number of queries: blocks of queries meet blocks of the
+    base as matrix products, and each pair of blocks keeps k rows a query.
+
+    The work is base times queries and is dealt over the tasks; no side reaches
+    the driver or has to fit one task.
+    """
+
+    def near(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                col = {c: batch.column(c)[i].values for c in batch.schema.names}
+                ids, nodes = col["q_ids"].to_numpy(), col["b_ids"].to_numpy()
+                q, x = _matrix(col["q_vectors"]), _matrix(col["b_vectors"])
+                if q.shape[1] != x.shape[1]:
                     raise InvalidArgument("dimension mismatch")
-                d = np.concatenate([best_d, _scores(x, q, metric)], 1)
-                n = np.concatenate([best_id, np.broadcast_to(batch.column("node_id").to_numpy(), (len(ids), len(x)))], 1)
-                order = np.lexsort((n, d), axis=1)[:, :k]
-                best_d, best_id = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
-            m = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best_id.ravel()), pa.array(best_d.ravel())], ["query_id", "node_id", "distance"])
-
-        part = base.select("node_id", "embedding").mapInArrow(near, "query_id long, node_id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return base.sparkSession.createDataFrame([], RESULT)
+                d = _scores(x, q, metric)
+                m = min(k, len(nodes))
+                order = np.lexsort((np.broadcast_to(nodes, d.shape), d), axis=1)[:, :m]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, m)), pa.array(nodes[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "node_id", "distance"]
+                )
+
+    pairs = _blocks(base, "node_id", block, "b").crossJoin(_blocks(queries, "query_id", block, "q"))  # of blocks
+    out = pairs.mapInArrow(near, "query_id long, node_id long, distance double")
     return top_k(out, k).select("query_id", "rk", "node_id", "distance")
 
 
