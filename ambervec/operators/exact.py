@@ -65,13 +65,9 @@ def _matrix(lists) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def blocked_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> DataFrame:
-    """Exact search of any number of queries: blocks of queries meet blocks of the
-    base as matrix products, and each pair of blocks keeps k rows a query.
-
-    The work is base times queries and is dealt over the tasks; no side reaches
-    the driver or has to fit one task.
-    """
+def near_in_blocks(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, node_id, distance): the k nearest in each pair of blocks
+    (q_ids, q_vectors, b_ids, b_vectors)."""
 
     def near(batches):
         for batch in batches:
@@ -88,9 +84,18 @@ def blocked_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
                     [pa.array(np.repeat(ids, m)), pa.array(nodes[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "node_id", "distance"]
                 )
 
+    return pairs.mapInArrow(near, "query_id long, node_id long, distance double")
+
+
+def blocked_knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> DataFrame:
+    """Exact search of any number of queries: blocks of queries meet blocks of the
+    base as matrix products, and each pair of blocks keeps k rows a query.
+
+    The work is base times queries and is dealt over the tasks; no side reaches
+    the driver or has to fit one task.
+    """
     pairs = _blocks(base, "node_id", block, "b").crossJoin(_blocks(queries, "query_id", block, "q"))  # of blocks
-    out = pairs.mapInArrow(near, "query_id long, node_id long, distance double")
-    return top_k(out, k).select("query_id", "rk", "node_id", "distance")
+    return top_k(near_in_blocks(pairs, k, metric), k).select("query_id", "rk", "node_id", "distance")
 
 
 def get_vector(base: DataFrame, node_id: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import GraphConfig
 from ..errors import InvalidArgument
 from ..functions import vectors as V
-from .exact import blocked_knn, exact_knn
+from .exact import blocked_knn, exact_knn, near_in_blocks
 
 NODES = "node_id long, neighbors array<long>"
 
@@ -171,27 +171,66 @@ def _with_vectors(pairs: DataFrame, base: DataFrame) -> DataFrame:
 def knn_graph(base: DataFrame, k: int) -> DataFrame:
     """(src, rk, dst, distance): each row's k nearest others, exactly."""
     q = base.select(F.col("node_id").alias("query_id"), "embedding")
-    found = blocked_knn(base, q, k + 1, "l2") if base.limit(5001).count() > 5000 else exact_knn(base, q, k + 1)
+    found = blocked_knn(base, q, k + 1, "l2")
     w = W.partitionBy("query_id").orderBy("distance", "node_id")
     return found.where("query_id <> node_id").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select(F.col("query_id").alias("src"), "rk", F.col("node_id").alias("dst"), "distance")
 
 
+def cell_knn(base: DataFrame, k: int, cells: int, overlap: int = 2, block: int = 2048, seed: int = 42) -> DataFrame:
+    """(src, rk, dst, distance): near neighbours among rows of the same cells.
+
+    ``cells`` rows are pivots (at most 4,096 reach the driver); each row joins its
+    ``overlap`` nearest ones. A cell is packed in blocks of ``block`` rows, so a dense
+    cell is many pairs of blocks rather than one task.
+    """
+    cells = min(cells, 4096)
+    picked = base.select("node_id", "embedding").orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(cells).collect()
+    held = base.sparkSession.sparkContext.broadcast(np.array([r.embedding for r in picked], np.float64))
+
+    def assign(batches):
+        p = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.array(b.column("embedding").to_pylist(), np.float64)
+            d = (x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T
+            m = min(overlap, len(p))
+            near = np.argsort(d, axis=1, kind="stable")[:, :m].astype(np.int32)
+            at = pa.array(np.repeat(np.arange(len(x)), m))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), b.column("node_id").take(at), b.column("embedding").take(at)], ["cell", "node_id", "embedding"])
+
+    rows = base.select("node_id", "embedding").mapInArrow(assign, "cell int, node_id long, embedding array<float>")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    rows = rows.join(F.broadcast(sizes), "cell").withColumn("b", F.pmod(F.xxhash64("node_id"), F.col("blocks")))  # a row a cell
+    packed = rows.groupBy("cell", "b").agg(F.collect_list(F.struct(F.col("node_id").alias("id"), F.col("embedding").alias("v"))).alias("x"))
+    packed = packed.select("cell", F.col("x.id").alias("ids"), F.col("x.v").alias("vs"))
+    pairs = packed.withColumnsRenamed({"ids": "q_ids", "vs": "q_vectors"}).join(packed.withColumnsRenamed({"ids": "b_ids", "vs": "b_vectors"}), "cell").drop("cell")
+    found = near_in_blocks(pairs, k + 1, "l2").distinct()
+    w = W.partitionBy("query_id").orderBy("distance", "node_id")
+    found = found.where("query_id <> node_id").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    return found.select(F.col("query_id").alias("src"), "rk", F.col("node_id").alias("dst"), "distance")
+
+
 def reverse_edges(nodes: DataFrame) -> DataFrame:
     """(src, dst): edges and their reverses, each once."""
     e = edges(nodes)
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 
 
-def build_graph(base: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+def build_graph(base: DataFrame, config: GraphConfig = GraphConfig(), exact_rows: int = 100_000) -> DataFrame:
     """nodes(node_id, neighbors) of at most ``max_degree`` neighbours: nearest candidates,
     prune, reverse edges, prune again, as whole-table rounds.
 
+    Candidates are exact up to ``exact_rows`` rows, beyond that they come from
+    `cell_knn`, whose work grows with the rows and not with their square.
     A popular node gets many reverse edges; the nearest ``4 * candidates`` of them
     go to the second prune, ranked before they are gathered.
     """
     if config.max_degree < 1:
         raise InvalidArgument("max_degree must be positive")
-    near = knn_graph(base, config.candidates).select("src", "dst")
+    n = base.count()
+    near = knn_graph(base, config.candidates) if n <= exact_rows else cell_knn(base, config.candidates, -(-n // 10_000), seed=config.seed)
+    near = near.select("src", "dst")
     first = robust_prune(_with_vectors(near, base), config)
     both = _nearest_only(reverse_edges(first), base, 4 * config.candidates)
     return robust_prune(_with_vectors(both, base), config)

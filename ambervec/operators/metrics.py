@@ -69,20 +69,27 @@ def applicable_truth(truth: DataFrame, n: int, k: int, first: int = 10, share: f
     return cut, bool(ok is not None and ok >= share)
 
 
-def percentiles(rows: DataFrame, value: str, ps: list[float], by: str | None = None) -> DataFrame:
+def percentiles(rows: DataFrame, value: str, ps: list[float], by: str | None = None, buckets: int = 64) -> DataFrame:
     """Element min(floor(n p / 100), n - 1) of the sorted values for each p, as columns p50, p99...
 
-    Values are counted first and ranked by running counts, so no task gathers a
-    group; a group's work is its number of different values.
+    Values fall into buckets at approximate quantiles; counts of the buckets say
+    in which one a rank lies, and only there values are ranked. So a task sees
+    about a ``buckets``-th of the different values, not all of them.
     """
     key = [by] if by else []
-    hist = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("c"))
+    known = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("__v"))
+    bounds = sorted(set(known.approxQuantile("__v", [i / buckets for i in range(1, buckets)], 0.002))) if not dict(rows.dtypes)[value].startswith("decimal") else []
+    place = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)), lambda b: b < F.col("__v"))) if bounds else F.lit(0)
+    hist = known.groupBy(*key, "__v").agg(F.count(F.lit(1)).alias("c")).withColumn("__b", place)
     w = W.partitionBy(*key) if key else W.partitionBy()
-    run = hist.select(*key, value, F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w).alias("n"))
+    sizes = hist.groupBy(*key, "__b").agg(F.sum("c").alias("s"))
+    sizes = sizes.select(*key, "__b", F.coalesce(F.sum("s").over(w.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("s").over(w).alias("n"))
+    inner = W.partitionBy(*key, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    run = hist.join(sizes, [*key, "__b"]).withColumn("upto", F.col("before") + F.sum("c").over(inner))
     cols = []
     for p in ps:
         rank = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-        cols.append(F.min(F.when(F.col("upto") > rank, F.col(value))).alias(f"p{p:g}".replace(".", "_")))
+        cols.append(F.min(F.when(F.col("upto") > rank, F.col("__v"))).alias(f"p{p:g}".replace(".", "_")))
     return run.groupBy(*key).agg(F.max("n").alias("n"), *cols)
 
 

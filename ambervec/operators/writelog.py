@@ -52,9 +52,16 @@ def in_range(log: DataFrame, lo, hi, key: str = "node_id") -> DataFrame:
 
 
 def with_ids(vectors: DataFrame, first: int = 0) -> DataFrame:
-    """Number rows without ids consecutively from ``first``, by (ts, seq); meant for micro-batches."""
-    counted = vectors.withColumn("node_id", F.row_number().over(W.orderBy("ts", "seq")) - 1 + F.lit(first))
-    return counted.select("node_id", *vectors.columns)
+    """Number rows without ids consecutively from ``first``, by (ts, seq).
+
+    Ranks are taken within each minute and offset by the counts of the minutes
+    before, so only the counts meet in one task.
+    """
+    rows = vectors.withColumn("__m", F.date_trunc("minute", "ts"))
+    counts = rows.groupBy("__m").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__m", F.coalesce(F.sum("__n").over(W.orderBy("__m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    ranked = rows.withColumn("__r", F.row_number().over(W.partitionBy("__m").orderBy("ts", "seq"))).join(before, "__m")
+    return ranked.select((F.col("__base") + F.col("__r") - 1 + F.lit(first)).alias("node_id"), *vectors.columns)
 
 
 def check_capacity(rows: int, most_rows: int, used: int = 0, most_bytes: int | None = None) -> None:

@@ -144,6 +144,14 @@ def test_graph_contract(spark, data):
     assert all(len(set(r.neighbors)) == 5 and r.node_id not in r.neighbors for r in rnd)
 
 
+def test_cells_give_good_candidates(spark, data):
+    base = table(spark, data)
+    exactly = {(r.src, r.dst) for r in graph.knn_graph(base, 5).collect()}
+    near = {(r.src, r.dst) for r in graph.cell_knn(base, 5, 4, 3, 16).collect()}
+    assert len(near) == 750 and len(near & exactly) > 0.8 * len(exactly)
+    assert graph.build_graph(base, GraphConfig(candidates=20), exact_rows=10).count() == 150
+
+
 def test_prune_rules():
     d = np.array([1.0, 1.1, 4.0])
     cross = np.array([[0, 0.01, 9], [0.01, 0, 9], [9, 9, 0]], float)
@@ -229,6 +237,12 @@ def test_latest_wins_in_any_order(spark):
         writelog.check_capacity(11, 10)
 
 
+def test_ids_follow_the_log(spark):
+    df = spark.createDataFrame(log_rows(90, 4), LOG).drop("node_id")
+    got = writelog.with_ids(df, 100).orderBy("node_id").collect()
+    assert [r.node_id for r in got] == list(range(100, 190)) and [(r.ts, r.seq) for r in got] == sorted((r.ts, r.seq) for r in got)
+
+
 def test_segments_and_compaction(spark):
     rows = log_rows(200)
     df = spark.createDataFrame(rows, LOG)
@@ -310,7 +324,11 @@ def test_recall_and_percentiles(spark):
     r = metrics.percentiles(spark.createDataFrame([(v,) for v in x], "v double"), "v", [50, 99, 0]).first()
     s = sorted(x)
     assert (r.p50, r.p99, r.p0) == (s[min(7 * 50 // 100, 6)], s[min(7 * 99 // 100, 6)], s[0])
+    by = metrics.percentiles(spark.createDataFrame([(i % 2, float(i)) for i in range(400)], "g int, v double"), "v", [50], "g").orderBy("g").collect()
+    assert [r.p50 for r in by] == [200.0, 201.0]
     assert metrics.cache_pages(10_000, 128, 864_000) == 39
+    by = metrics.percentiles(spark.createDataFrame([(i % 2, float(i)) for i in range(400)], "g int, v double"), "v", [50], "g").orderBy("g").collect()
+    assert [r.p50 for r in by] == [200.0, 201.0]
     assert metrics.cache_pages(10_000, 128, 1 << 40) == 20
     assert one(spark, metrics.within_memory_limits(15, 100)) and not one(spark, metrics.within_memory_limits(21, 100))
 
