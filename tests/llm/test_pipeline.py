@@ -31,3 +31,28 @@ def test_stages(spark, tmp_path):
     packed = cp.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == left[3]
     assert cp.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("documents", docs), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_extra_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{k}" for k in range(3000))
+    rows = [(None, None, None, None, None, 1, "a"), (None, "", "en", "s", 0, 2, "b"), (5, long, "en", "s", 9, 3, "c"), (5, long, "en", "s", 9, 4, "d"), (6, "short", None, "s", None, 5, "e")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score int, key string"
+    docs = spark.createDataFrame(rows, kind)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert sorted(r.score for r in out.collect()) == [1, 2, 3, 4, 5], name
+    assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 5
