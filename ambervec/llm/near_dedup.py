@@ -112,11 +112,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
                 if x != last:
                     left, last = from48(np.frombuffer(x, np.uint8).reshape(-1, 6)), x
-                right = from48(np.frombuffer(y, np.uint8).reshape(-1, 6))
-                at = np.searchsorted(left, right)
-                at[at == len(left)] = 0
-                both = int((left[at] == right).sum())
-                keep[i] = 100 * both >= percent * (len(left) + len(right) - both)
+                keep[i] = _similar(left, from48(np.frombuffer(y, np.uint8).reshape(-1, 6)), percent)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -125,68 +121,130 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
 
 
-def _pairs_left(members: DataFrame, percent: int, per_label: int | None) -> DataFrame:
-    """Pairs of different labels in one band bucket that may be similar enough.
+def _runs(batches, columns: tuple[str, ...]):
+    """Tables that hold whole runs of equal values of the columns, from sorted batches."""
+    held = None
+    for batch in _then_none(batches):
+        if batch is None:
+            if held is not None and held.num_rows:
+                yield held
+            return
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        if not held.num_rows:
+            continue
+        same = np.ones(held.num_rows, bool)
+        for c in columns:
+            x = held.column(c).to_numpy()
+            same &= x == x[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+
+
+def _each(table: pa.Table, columns: tuple[str, ...]):
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in columns:
+        x = table.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    edge = np.append(np.flatnonzero(new), table.num_rows)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield table.slice(lo, hi - lo)
+
+
+def _likely(t: pa.Table, percent: int):
+    """Pairs of a bucket that may be similar enough, as (i, those j), by label, size
+    and sketch; pairs with the bucket's leader were tested before, and a pair
+    that shares several buckets belongs to its first one."""
+    key, cid, label, n, leader, block = (t.column(c).to_numpy() for c in ("key", "cid", "label", "n_shingles", "leader", "block"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1)
+    bands = t.column("bands").combine_chunks().values.to_numpy().reshape(len(cid), -1)
+    least = int(sketch.shape[1] * (percent / 100 - 0.22))
+    one, two = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+    place = int(np.flatnonzero(bands[0] == key[0])[0])
+    for i in np.flatnonzero((block == one) & (cid != leader)):
+        j = np.flatnonzero((block == two) & (label != label[i]) & (cid != leader))
+        j = j[j > i] if one == two else j
+        j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
+        j = j[(sketch[j] == sketch[i]).sum(1) >= least]
+        if len(j):
+            j = j[~(bands[j, :place] == bands[i, :place]).any(1)]
+        if len(j):
+            yield int(i), j
+
+
+BUCKET = ("key", "bi", "bj")
+
+
+def _in_doubt(members: DataFrame, percent: int) -> DataFrame:
+    """(key, cid) of the members that have a likely partner of another label in their bucket."""
 
-    ``members``: key, cid, label, n_shingles, sketch of the buckets that still
-    hold several labels. Sizes and sketches rule pairs out; of each two labels
-    the ``per_label`` likeliest pairs are given, all of them if it is None.
+    def run(batches):
+        for whole in _runs(batches, BUCKET):
+            keys, cids = [], []
+            for t in _each(whole, BUCKET):
+                mine = set()
+                for i, j in _likely(t, percent):
+                    mine.update((i, *j.tolist()))
+                if mine:
+                    at = np.array(sorted(mine))
+                    keys.append(t.column("key").to_numpy()[at])
+                    cids.append(t.column("cid").to_numpy()[at])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cids))], ["key", "cid"])
+
+    return _dealt(members).mapInArrow(run, "key long, cid long").distinct()
+
+
+def _links_in_buckets(members: DataFrame, percent: int) -> DataFrame:
+    """Links between labels inside buckets, confirmed on full sets (column shingles).
+
+    Labels that a link joins are one from then on, so a bucket of n members gives
+    less than n links and compares only what is still apart.
     """
 
-    def one(cid, label, n, sketch):
-        least = int(sketch.shape[1] * (percent / 100 - 0.22))
-        order = np.argsort(label, kind="stable")
-        cid, label, n, sketch = cid[order], label[order], n[order], sketch[order]
-        end = np.searchsorted(label, label, "right")
-        out = []
-        for i in range(len(cid)):
-            j = np.arange(end[i], len(cid))
-            j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
-            if not len(j):
-                continue
-            same = (sketch[j] == sketch[i]).sum(1)
-            j, same = j[same >= least], same[same >= least]
-            out.append(np.column_stack([np.full(len(j), i), j, same]))
-        if not out:
-            return None
-        out = np.concatenate(out)
-        if per_label is not None:
-            out = out[np.lexsort((-out[:, 2], label[out[:, 1]], label[out[:, 0]]))]
-            la, lb = label[out[:, 0]], label[out[:, 1]]
-            new = np.concatenate(([True], (la[1:] != la[:-1]) | (lb[1:] != lb[:-1])))
-            start = np.flatnonzero(new)
-            out = out[np.arange(len(out)) - start[np.cumsum(new) - 1] < per_label]
-        x, y = cid[out[:, 0]], cid[out[:, 1]]
-        return np.minimum(x, y), np.maximum(x, y)
-
     def run(batches):
-        held = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                t = pa.Table.from_batches([batch])
-                held = t if held is None else pa.concat_tables([held, t])
-                key = held.column("key").to_numpy()
-                if not len(key) or key[0] == key[-1]:
-                    continue
-                cut = int(np.searchsorted(key, key[-1]))
-                done, held = held.slice(0, cut), held.slice(cut)
-            else:
-                done = held
-            if done is None or not done.num_rows:
-                continue
-            key, cid, label, n = (done.column(c).to_numpy() for c in ("key", "cid", "label", "n_shingles"))
-            sketch = np.frombuffer(b"".join(done.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
-            edge = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
-            xs, ys = [], []
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                if (got := one(cid[lo:hi], label[lo:hi], n[lo:hi], sketch[lo:hi])) is not None:
-                    xs.append(got[0])
-                    ys.append(got[1])
-            if xs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], ["a", "b"])
-
-    cols = members.select("key", "cid", "label", "n_shingles", "sketch")
-    return cols.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+        for whole in _runs(batches, BUCKET):
+            a, b = [], []
+            for t in _each(whole, BUCKET):
+                cid, label = t.column("cid").to_numpy(), t.column("label").to_numpy()
+                raw, sets, parent = t.column("shingles").to_pylist(), {}, {}
+
+                def set_of(i, raw=raw, sets=sets):
+                    if i not in sets:
+                        sets[i] = from48(np.frombuffer(raw[i], np.uint8).reshape(-1, 6))
+                    return sets[i]
+
+                def root(x, parent=parent):
+                    while (up := parent.get(x, x)) != x:
+                        parent[x] = parent.get(up, up)
+                        x = up
+                    return x
+
+                for i, j in _likely(t, percent):
+                    for k in j.tolist():
+                        x, y = root(label[i]), root(label[k])
+                        if x != y and _similar(set_of(i), set_of(k), percent):
+                            parent[max(x, y)] = min(x, y)
+                            a.append(cid[i])
+                            b.append(cid[k])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _dealt(members).mapInArrow(run, "a long, b long")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "cid")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _then_none(batches):
@@ -194,7 +252,7 @@ def _then_none(batches):
     yield None
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 48, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 48, rows: int = 4, block: int = 4096) -> DataFrame:
     """Classes of documents linked by ``100 * intersection >= percent * union``.
 
     A document's set is its distinct shingles of ``width`` lower-cased words.
@@ -203,9 +261,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     link at 0.8 is missed with probability 3e-6). Equal sets are one class and
     meet once. In every bucket the least class is compared with the others; all
     links are confirmed on full sets. Buckets that still hold several components
-    give their likeliest pairs between components, then all pairs between
-    components that sizes and sketches allow, so no bucket is expanded into its
-    pairs and no link is lost for a cap.
+    are searched where they lie, in blocks of at most ``block`` members: pairs
+    between components that sizes and sketches allow are compared on full sets
+    until they are one component, so no bucket is expanded into its pairs and no
+    link is lost for a cap.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable, itself
     included), kept (doc_id = component_id). Null and empty texts: no shingles,
@@ -220,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     hot = banded.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader < last")
     members = staged(banded.join(hot, "key").select("key", "cid", "leader"), "members")
     met = members.select("cid").distinct()
-    sized = classes.join(met, "cid").select("cid", "n_shingles", "sketch")
+    sized = classes.join(met, "cid").select("cid", "n_shingles", "sketch", "bands")
     wanted = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(met, "cid", "left_semi")
     sets = staged(_sets_of(wanted, width), "sets")
     sized = staged(sized, "sized")
@@ -229,21 +288,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     fits = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
     star = members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     star = star.join(n.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb")), "b").join(n.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na")), "a").where(fits).select("a", "b")
-    tested = star = staged(star, "tested")
     links = staged(_confirmed(star, sets, percent), "confirmed")
     labels = components(links)
-    for per_label in (4, 64, None):
-        named = members.select("key", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-        open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2").select("key")
-        left = _pairs_left(named.join(open_keys, "key").join(sized, "cid"), percent, per_label)
-        left = staged(left.join(tested, ["a", "b"], "left_anti"), "tested")
-        if left.isEmpty():
-            break
-        more = staged(_confirmed(left, sets, percent), "confirmed")
-        tested = tested.unionByName(left)
-        if not more.isEmpty():
-            links = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more)
-            labels = components(links)
+
+    named = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "leader", F.coalesce("label", "cid").alias("label"))
+    apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    left = named.join(apart, "key").select("key", "cid", "leader", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = left.select("key", "cid", "leader", "label", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    left = left.join(sized, "cid")
+    doubt = _in_doubt(left, percent)
+    left = left.join(doubt, ["key", "cid"], "left_semi").join(sets, "cid")
+    more = staged(_links_in_buckets(left, percent), "confirmed")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     by_class = classes.select("set_a", "set_b", "n_shingles", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
     by_class = by_class.select("set_a", "set_b", "n_shingles", F.coalesce("label", "cid").alias("component"))
