@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .common import documents, size_in_bytes
 
 WINDOW, SUBSTITUTIONS, LEAST_WORDS = 13, 2, 5
-# Any 13 words with at most 2 substitutions hold all places of one of these
-# masks unchanged (tested over all pairs of places).
-MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 6, 8))
+# Any 13 words with at most 2 substitutions hold all places of this mask
+# unchanged somewhere (tested over all pairs of places), so one mask loses nothing.
+MASKS = ((0, 1, 3, 6, 7),)
 BROADCAST_BYTES = 32 << 20
 
 
@@ -20,31 +20,22 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(words: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(words, at + o) for o in MASKS[mask]))
-
-
-def _fits(words: Column, at: Column, mask: int) -> Column:
-    return at + MASKS[mask][-1] < F.size(words)
-
-
-def _held(words: Column, at: Column, other: Column, other_at: Column, mask: int) -> Column:
-    """Whether the mask's places agree there."""
-    same = [F.get(words, at + o) == F.get(other, other_at + o) for o in MASKS[mask]]
-    out = (at >= 0) & (other_at >= 0)
-    for s in same:
-        out = out & s
-    return F.coalesce(out, F.lit(False))
+def _seeds(masks: list[tuple[int, ...]]) -> Column:
+    """Seeds at all places of ``words``, mask after mask: entry mask * words + place."""
+    each = [f"transform(words, (w, i) -> xxhash64({', '.join(f'get(words, i + {o})' if o else 'w' for o in mask)}))" for mask in masks]
+    return F.expr(each[0] if len(each) == 1 else f"concat({', '.join(each)})")
 
 
+# h: (item_id, diagonal, item_words); words p of the item lie at p + diagonal
 _VERIFIED = f"""
-exists(
-  transform(array(transform(
-    sequence(greatest(0, j - i), least(size(item_words), size(words) - i + j) - 1),
-    p -> if(words[p + i - j] = item_words[p], 1, 0))), same ->
-  if(size(same) < {WINDOW} or aggregate(same, 0, (a, x) -> a + x) < {WINDOW - SUBSTITUTIONS}, false,
-     exists(sequence(1, size(same) - {WINDOW} + 1), s -> aggregate(slice(same, s, {WINDOW}), 0, (a, x) -> a + x) >= {WINDOW - SUBSTITUTIONS}))),
-  found -> found)
+filter(hits, h -> exists(
+  array(transform(
+    sequence(greatest(0, -h.diagonal), greatest(greatest(0, -h.diagonal), least(size(h.item_words), size(words) - h.diagonal) - 1)),
+    p -> if(get(words, p + h.diagonal) <=> get(h.item_words, p), 1, 0))),
+  same -> CASE
+    WHEN size(h.item_words) < {WINDOW} THEN aggregate(same, 0, (a, x) -> a + x) = size(h.item_words)
+    WHEN size(same) < {WINDOW} OR aggregate(same, 0, (a, x) -> a + x) < {WINDOW - SUBSTITUTIONS} THEN false
+    ELSE exists(sequence(1, size(same) - {WINDOW} + 1), s -> aggregate(slice(same, s, {WINDOW}), 0, (a, x) -> a + x) >= {WINDOW - SUBSTITUTIONS}) END))
 """
 
 
@@ -55,36 +46,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     order and without gaps, with at most 2 words substituted. An item of 5 to 12
     words must lie in it whole and unchanged; shorter items are not searched.
 
-    Spaced seeds of both sides are joined: masks of six places that ignore the
-    places between them, at every word of every text. Around a hit whose
-    predecessor on the same diagonal is none, the aligned words are compared.
-    The benchmark's seeds are broadcast only up to 32 MB of stored benchmark; a
-    larger one is joined by shuffling.
+    Spaced seeds of both sides are joined: a mask of five places that ignores
+    the places between them, at every word of every text (for an item of 5 to 12
+    words, all its words). What meets is a document, an item and a diagonal,
+    each once; then the aligned words of the documents with such hits are
+    compared. The benchmark's seeds are broadcast only up to 32 MB of stored
+    benchmark; a larger one is joined by shuffling.
     """
     small = size_in_bytes(benchmark) <= BROADCAST_BYTES
     side = F.broadcast if small else (lambda df: df)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("words"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item_words")).where(f"size(item_words) >= {LEAST_WORDS}")
-
-    at, j = F.col("i"), F.col("j")
-    seeds = items.where(f"size(item_words) >= {WINDOW}").select("item_id", "item_words", F.posexplode("item_words").alias("j", "h"))
-    one = [seeds.where(_fits(F.col("item_words"), j, m)).select("item_id", "item_words", "j", _seed(F.col("item_words"), j, m).alias("seed")) for m in range(len(MASKS))]
-    seeds = one[0].unionByName(one[1])
-    places = rows.where(f"size(words) >= {WINDOW}").select("doc_id", "text_hash", "words", F.posexplode("words").alias("i", "h"))
-    keys = places.select("doc_id", "text_hash", "words", "i", F.posexplode(F.array(*(_seed(F.col("words"), at, m) for m in range(len(MASKS))))).alias("mask", "seed"))
-    hits = keys.join(side(seeds), "seed")
-    w, v = F.col("words"), F.col("item_words")
-    again = F.when(F.col("mask") == 0, _held(w, at - 1, v, j - 1, 0)).otherwise(_held(w, at - 1, v, j - 1, 1))
-    found = hits.where(~again).where(F.expr(_VERIFIED)).select("doc_id", "text_hash", "item_id")
-
-    short = items.where(f"size(item_words) < {WINDOW}")
-    for n in sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect()):  # at most eight lengths
-        whole = [F.get(w, at + k) for k in range(n)]
-        want = short.where(F.size("item_words") == n).select("item_id", "item_words", F.xxhash64(*(F.get(v, F.lit(k)) for k in range(n))).alias("seed"))
-        have = rows.where(F.size("words") >= n).select("doc_id", "text_hash", "words", F.posexplode("words").alias("i", "h"))
-        have = have.where(at + n <= F.size("words")).withColumn("seed", F.xxhash64(*whole)).join(side(want), "seed")
-        found = found.unionByName(have.where(F.slice("words", at + 1, n) == v).select("doc_id", "text_hash", "item_id"))
-    return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).where(f"size(words) >= {LEAST_WORDS}")
+    short = [r[0] for r in items.where(f"size(words) < {WINDOW}").select(F.size("words")).distinct().collect()]  # at most eight lengths
+    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
+
+    def seeded(rows: DataFrame, *names: str) -> DataFrame:
+        """The seeds of texts; only the names go along, not the words."""
+        out = rows.where("size(words) > 0").select(*names, F.size("words").alias("n"), F.posexplode(_seeds(masks)).alias("t", "seed"))
+        return out.select(*names, "n", F.expr("t % n").alias("at"), F.expr("cast(t div n AS int)").alias("mask"), "seed")
+
+    own = F.col("n") >= WINDOW
+    for k, mask in enumerate(masks):
+        fits = F.col("at") + mask[-1] < F.col("n")
+        this = F.col("mask") == k
+        own = own & (~this | fits) if k < len(MASKS) else own
+    whole = F.lit(False)
+    for k, mask in enumerate(masks[len(MASKS) :], len(MASKS)):
+        whole = whole | ((F.col("mask") == k) & (F.col("n") == len(mask)) & (F.col("at") == 0))
+    seeds = seeded(items, "item_id")
+    seeds = seeds.where((own & (F.col("mask") < len(MASKS))) | whole).select("item_id", "seed", F.col("at").alias("j"))
+
+    ids = (F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    places = seeded(docs.select(*ids, word_hashes(F.col("text")).alias("words")), "doc_id", "text_hash")
+    met = places.join(side(seeds), "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("j")).alias("diagonal")).distinct()
+    met = met.join(side(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
+    met = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("item_id", "diagonal", "item_words")).alias("hits"))
+    texts = docs.select(*ids, F.coalesce("text", F.lit("")).alias("text"))
+    there = texts.join(met.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    found = there.select("doc_id", "text_hash", "hits", word_hashes(F.col("text")).alias("words")).select("doc_id", "text_hash", F.expr(_VERIFIED).alias("hits"))
+    found = found.select("doc_id", "text_hash", F.array_sort(F.array_distinct("hits.item_id")).alias("items")).where("size(items) > 0")
+    return found.dropDuplicates(["doc_id", "text_hash"])
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, how: str) -> DataFrame:
