@@ -354,6 +354,22 @@ def test_vecs_files(spark, tmp_path):
         vecs.read_fvecs(spark, f"{tmp_path}/none.fvecs").count()
 
 
+def test_folders(spark, tmp_path):
+    from ambervec.sources import files
+
+    d = f"file://{tmp_path}/log"
+    assert files.list_segments(spark, d) == [] and files.directory_size(spark, d) == 0 and not files.exists(spark, d)
+    log = writelog.LogTable(spark, d)
+    for k in (3, 1):
+        log.append(spark.createDataFrame(log_rows(20), LOG), k)
+    assert files.list_segments(spark, d) == [1, 3] and files.directory_size(spark, d) > 0
+    assert files.file_sizes(spark, d).where("path like '%.parquet'").agg(F.sum("length")).first()[0] <= files.directory_size(spark, d)
+    files.ensure_directory(spark, f"{d}/segment=3/_temporary/0")
+    assert files.remove_stale(spark, d, -10) == 1 and files.list_segments(spark, d) == [1, 3]
+    with pytest.raises(ReadError):
+        files.file_size(spark, f"{d}/none")
+
+
 def test_generators(spark):
     a = generate.random_vectors(spark, 100, 8)
     assert a.count() == 100 and a.select(V.norm("embedding").alias("n")).where("abs(n - 1) > 1e-5").count() == 0
