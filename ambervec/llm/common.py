@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 # ---------------------------------------------------------------- scratch
 
@@ -36,11 +37,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     This cuts the lineage with files that outlive any executor; a later stage
-    that is computed again rereads them instead of recomputing ``df``.
+    that is computed again rereads them instead of recomputing ``df``. The
+    shuffle files of the write are freed as soon as it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, staged
 
 THRESHOLD, LEAST_CHARS = 2, 24
 _LAST = (1 << 63) - 1
@@ -108,7 +108,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
 
     seen = text.select("__did", "__th", F.posexplode(lines).alias("no", "line")).where(F.char_length("line") >= least_chars)
     seen = seen.select("__did", "__th", "no", F.xxhash64("line").alias("h"), F.char_length("line").alias("n"))
-    first = seen.groupBy("h", "n").agg(F.min(F.struct("__did", "__th", "no")).alias("first"))
+    first = staged(seen.groupBy("h", "n").agg(F.min(F.struct("__did", "__th", "no")).alias("first")), "first")
 
     def lines_of(some: DataFrame) -> DataFrame:
         """(h, line) for first occurrences: each document gets the list of its own."""
@@ -120,17 +120,18 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     index = mine.select("h", F.explode(segment_keys(F.col("line"), threshold)).alias("key"))
     probes = mine.select("h", F.explode(probe_keys(F.col("line"), threshold)).alias("key"))
     pairs = probes.withColumnRenamed("h", "a").join(index.withColumnRenamed("h", "b"), "key").where("a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = staged(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     wanted = first.join(met, "h", "left_semi")
     texts = lines_of(wanted)
-    where = wanted.select("h", "first").join(texts, "h")
+    where = staged(wanted.select("h", "first").join(texts, "h"), "lines")
     both = pairs.join(where.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la")), "a")
     both = both.join(where.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb")), "b")
     near = both.where(within("la", "lb", threshold))
     # of a near pair, the line that occurs first stays
     gone = near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
+    gone = staged(gone, "gone")
 
     kept = first.join(gone, "h", "left_anti").groupBy(F.col("first.__did").alias("__did"), F.col("first.__th").alias("__th")).agg(F.collect_list("first.no").alias("__stay"))
     out = rows.withColumn("text", F.coalesce("text", F.lit(""))) if set(base.columns) == {"doc_id", "text"} else rows
