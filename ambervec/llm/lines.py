@@ -90,7 +90,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     lines are judged on the input, not on what is left. Lines are cut into
     threshold + 1 segments: two lines within the threshold share one segment at
     a nearby place, so substrings of each line probe an index of (length,
-    segment number, segment); what is found is verified by `within`. Equal lines
+    segment number, segment); what is found is turned down by Spark's thresholded edit distance or verified by `within`. Equal lines
     meet once, as their first occurrence, so a line of a third of all documents
     is no hot key. Lines count as equal if lengths and 64-bit hashes are.
 
@@ -128,7 +128,9 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     where = staged(wanted.select("h", "first").join(texts, "h"), "lines")
     both = pairs.join(where.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la")), "a")
     both = both.join(where.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb")), "b")
-    near = both.where(within("la", "lb", threshold))
+    # the engine's own thresholded distance turns most candidates down cheaply
+    likely = both.where(F.levenshtein("la", "lb", threshold) >= 0)
+    near = likely.where(within("la", "lb", threshold))
     # of a near pair, the line that occurs first stays
     gone = near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
     gone = staged(gone, "gone")
