@@ -4,6 +4,8 @@ together with rows written since."""
 from __future__ import annotations
 
 import heapq
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..errors import InvalidArgument
+from ..functions import vectors as V
 from . import graph as G
 from .exact import RESULT, exact_knn, top_k
 
 BROADCAST_BYTES = 256 << 20
+WIDTH = 16  # open nodes of a query that one round over a dealt index expands
 
 
 class _Index:
@@ -79,9 +83,9 @@ def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: S
     """(query_id, rk, node_id, distance, scored) by best-first search from the medoid.
 
     An index of up to 256 MB is broadcast and queries are dealt over the tasks. A
-    larger one (or ``shards``) is searched shard by shard: each shard holds the
-    subgraph of its nodes, every query runs on every shard, and the k best of all
-    are kept.
+    larger one is dealt over ``shards`` parts by node_id and stays one graph: all
+    queries move on together in rounds, and each round joins the nodes they expand
+    with the whole edge table (see `_in_rounds`). No edge is lost at any size.
     """
     if config.k < 0 or config.ef < 1:
         raise InvalidArgument("k must not be negative and ef must be positive")
@@ -129,20 +133,82 @@ def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: S
 
         return q.mapInArrow(run, SCORED)
 
-    shard = F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard")
-    named = [c for c in ("node_id", "embedding", "neighbors", "codes") if c in rows.columns]
-    left = rows.select(shard, *named)
-    asked = q.crossJoin(base.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")))  # every shard sees every query
+    return _in_rounds(rows, q, entry, k, ef, factor, book, shards)
 
-    def search(key, mine, wanted):
-        if not mine.num_rows or not wanted.num_rows:
-            return pa.Table.from_batches([found(None, [], [])])
-        return pa.Table.from_batches([found(index_of(mine), wanted["query_id"].to_pylist(), wanted["wanted"].to_pylist())])
 
-    asked = asked.select("shard", "query_id", F.col("embedding").alias("wanted"))
-    parts = left.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, SCORED)
-    total = parts.select("query_id", "node_id", "distance", "scored")
-    return top_k(total, k).select("query_id", "rk", "node_id", "distance", "scored")
+_STATE = "q long, query_id long, v array<double>, best array<struct<d:double,id:long,open:boolean>>, seen array<bigint>, scored long"
+
+
+def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, factor: float | None, book: np.ndarray | None, shards: int) -> DataFrame:
+    """Best-first search with the index as a table.
+
+    A query's state is its ``ef`` best nodes, which of them are still open, and what
+    it has seen. A round expands the ``WIDTH`` nearest open ones of every query and
+    scores their unseen neighbours; the search ends when no query has an open node,
+    which is the stopping rule of `_Index.beam`. States are written after each round.
+    """
+    spark = rows.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/beam-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    coded = "codes" in rows.columns
+    index = kept(rows.repartition(shards, "node_id"), "index")
+    start = index.where(F.col("node_id") == entry).first() or index.orderBy("node_id").first()
+    if start is None:
+        return spark.createDataFrame([], SCORED)
+    x0 = F.array(*(F.lit(float(x)) for x in start.embedding))
+    state = queries.select(F.monotonically_increasing_id().alias("q"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    one = F.struct(V.l2_squared("v", x0).cast("double").alias("d"), F.lit(start.node_id).cast("long").alias("id"), F.lit(True).alias("open"))
+    state = kept(state.withColumns({"best": F.array(one), "seen": F.array(F.lit(start.node_id).cast("long")), "scored": F.lit(1).cast("long")}), "round-0")
+
+    def score(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, v = (np.array(b.column(c).to_pylist(), np.float64) for c in ("embedding", "v"))
+            d = ((x - v) ** 2).sum(1)
+            est = d
+            if coded:
+                at = np.array(b.column("codes").to_pylist(), np.int64)
+                est = ((book[np.arange(len(book)), at] - v.reshape(len(v), len(book), -1)) ** 2).sum((1, 2))
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), pa.array(d), pa.array(est)], ["q", "id", "d", "est"])
+
+    def merge(batches):
+        for b in batches:
+            out = b.to_pylist()
+            for r in out:
+                best, near = r["best"], sorted(r.pop("hits") or [], key=lambda h: (h["est"], h["id"]))
+                for e in sorted((e for e in best if e["open"]), key=lambda e: (e["d"], e["id"]))[:WIDTH]:
+                    e["open"] = False
+                r["seen"] += r.pop("fresh") or []
+                if coded and factor and len(best) >= k and len(near) >= k:
+                    worst = max(e["d"] for e in best)
+                    near = near[: max(k, sum(h["est"] <= factor * worst for h in near))]
+                r["scored"] += len(near)
+                best += [{"d": h["d"], "id": h["id"], "open": True} for h in near]
+                r["best"] = sorted(best, key=lambda e: (e["d"], e["id"]))[:ef]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(state.schema)
+    nearest = F.slice(F.array_sort(F.filter("best", lambda e: e["open"])), 1, WIDTH)  # by distance, then id
+    done = 0
+    while state.where(F.exists("best", lambda e: e["open"])).limit(1).count():
+        at = state.select("q", F.explode(nearest).alias("e")).select("q", F.col("e.id").alias("node_id"))
+        hop = at.join(index.select("node_id", "neighbors"), "node_id").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("neighbors"))).alias("near"))
+        grown = state.join(hop, "q", "left").withColumn("fresh", F.array_except("near", "seen")).drop("near")
+        ask = grown.select("q", "v", F.explode("fresh").alias("id"))
+        data = index.select(F.col("node_id").alias("id"), "embedding", *(["codes"] if coded else []))
+        hits = ask.join(data, "id").mapInArrow(score, "q long, id long, d double, est double")
+        hits = hits.groupBy("q").agg(F.collect_list(F.struct("d", "est", "id")).alias("hits"))
+        done += 1
+        state = kept(grown.join(hits, "q", "left").mapInArrow(merge, _STATE), f"round-{done}")
+    out = state.select("query_id", "scored", F.posexplode(F.slice("best", 1, k)).alias("at", "e"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rk"), F.col("e.id").alias("node_id"), F.sqrt("e.d").alias("distance"), "scored")
 
 
 def search_with_delta(base: DataFrame, nodes: DataFrame, delta: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:

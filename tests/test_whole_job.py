@@ -24,3 +24,18 @@ def test_every_hundredth_row_is_asked(spark, tmp_path, name):
     table(spark, x).withColumnRenamed("node_id", "vec_id").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = entry.queries()[name](spark, str(tmp_path)).collect()
     assert {r.query_id for r in rows} == {0, 100, 200, 300} and len(rows) == 40
+
+
+def test_dealt_index_loses_no_edges(spark):
+    x = np.random.default_rng(2).normal(0, 1, (1200, 16))
+    base = table(spark, x)
+    nodes = spark.createDataFrame(graph.build_graph(base, GraphConfig(max_degree=16, candidates=40)).collect(), graph.NODES)
+    q = asked(base, 40)
+    truth = exact.exact_knn(base, q, 10).cache()
+    for shards in (2, 5, 10):
+        found = search.beam_search(base, nodes, q, SearchConfig(10, 50), shards=shards).cache()
+        assert found.count() == 300
+        assert metrics.recall_micro(found, truth, 10).first().recall >= 0.9, shards
+    book = quantize.train_codebook(base, PqConfig(4, 16, 10))
+    found = search.beam_search(base, nodes, q, SearchConfig(10, 50), codes=quantize.encode(base, book), codebook=book, shards=5)
+    assert metrics.recall_micro(found, truth, 10).first().recall >= 0.85
