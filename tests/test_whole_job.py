@@ -39,3 +39,19 @@ def test_dealt_index_loses_no_edges(spark):
     book = quantize.train_codebook(base, PqConfig(4, 16, 10))
     found = search.beam_search(base, nodes, q, SearchConfig(10, 50), codes=quantize.encode(base, book), codebook=book, shards=5)
     assert metrics.recall_micro(found, truth, 10).first().recall >= 0.85
+
+
+@pytest.mark.parametrize("spread", [0.4, None])
+def test_cells_keep_the_candidates_and_the_recall(spark, spread):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (1000, 32)) if spread is None else rng.normal(0, 1, (10, 32))[rng.integers(0, 10, 1000)] + rng.normal(0, spread, (1000, 32))
+    base = table(spark, x)
+    conf = GraphConfig(max_degree=16, candidates=20)
+    exactly = {(r.src, r.dst) for r in graph.knn_graph(base, 20).collect()}
+    near = {(r.src, r.dst) for r in graph.near_candidates(base, conf, 100, 20).collect()}
+    assert len(near & exactly) >= 0.9 * len(exactly)
+    if spread is None:
+        assert sum((r.src, r.dst) in exactly for r in graph.cell_knn(base, 20, 50).collect()) < 0.9 * len(exactly)
+        nodes = graph.build_graph(base, conf, exact_rows=100, cell_rows=20)
+        q = asked(base, 20)
+        assert metrics.recall_micro(search.beam_search(base, nodes, q, SearchConfig(10, 50)), exact.exact_knn(base, q, 10), 10).first().recall >= 0.9
