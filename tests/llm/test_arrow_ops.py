@@ -262,3 +262,14 @@ def test_audio(spark):
     import pyarrow as pa
 
     assert audio.tensor_array(pa.array(list(flat), pa.list_(pa.float32()))).to_numpy_ndarray().shape[1:] == (64, 16)
+
+
+def test_audio_digest_takes_all_frames(spark, tmp_path):
+    """Texts that differ behind the fourth frame only have different features."""
+    rows = [(i, "abcdefgh" * 300 + tail) for i, tail in enumerate(["q" * 200, "qz" * 100, "q" * 200])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    media = audio.audio_features(audio.store(spark.read.parquet(f"{tmp_path}/documents.parquet"))).collect()
+    first = {r.doc_id: np.array(r.tensors[0].log_mel) for r in media}
+    assert (first[0][:64] == first[1][:64]).all() and not np.allclose(first[0], first[1], atol=0.05)
+    mel = {r.doc_id: r.feature.split(";")[-1] for r in audio.query(spark, str(tmp_path)).collect()}
+    assert mel[0] == mel[2] != mel[1]
