@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged
 
-THRESHOLD, LEAST_CHARS = 2, 24
+THRESHOLD, LEAST_CHARS = 2, 24  # two edits in 24 characters: a share of 1/12
+EXACT_CHARS = 4
 _LAST = (1 << 63) - 1
 
 
@@ -82,12 +83,14 @@ def _bound(step: str, d0: str, m: str) -> str:
     return re.sub(r"\bs\.", "u.", out)
 
 
-def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None, exact_chars: int | None = None) -> DataFrame:
     """Remove lines that equal, or are within ``threshold`` edits of, a line that
     occurs earlier (by doc_id, then line number).
 
-    Only lines of at least ``least_chars`` characters are compared or removed;
-    lines are judged on the input, not on what is left. Lines are cut into
+    Exact repeats go from ``exact_chars`` characters on (4, so that braces and the
+    like stay; ``least_chars`` where only that is given). Near repeats go from
+    ``least_chars`` characters on (24: in shorter lines two edits often make another
+    text). Lines are judged on the input, not on what is left. Lines are cut into
     threshold + 1 segments: two lines within the threshold share one segment at
     a nearby place, so substrings of each line probe an index of (length,
     segment number, segment); what is found is turned down by Spark's thresholded edit distance or verified by `within`. Equal lines
@@ -99,6 +102,9 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     null id counts as larger than all others; rows of equal id and text are one
     document, so repeating a row removes nothing. Empty table: no rows.
     """
+    if exact_chars is None:
+        exact_chars = EXACT_CHARS if least_chars is None else least_chars
+    least_chars = LEAST_CHARS if least_chars is None else least_chars
     base = docs.drop("n_lines", "n_removed", "kept_text")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__did")
     th = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")
@@ -106,7 +112,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     text = rows.select("__did", "__th", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.split("text", "\n", -1)
 
-    seen = text.select("__did", "__th", F.posexplode(lines).alias("no", "line")).where(F.char_length("line") >= least_chars)
+    seen = text.select("__did", "__th", F.posexplode(lines).alias("no", "line")).where(F.char_length("line") >= exact_chars)
     seen = seen.select("__did", "__th", "no", F.xxhash64("line").alias("h"), F.char_length("line").alias("n"))
     first = staged(seen.groupBy("h", "n").agg(F.min(F.struct("__did", "__th", "no")).alias("first")), "first")
 
@@ -116,7 +122,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
         cut = text.join(lists.hint("shuffle_hash"), ["__did", "__th"]).select("own", lines.alias("lines"))
         return cut.select("lines", F.explode("own").alias("x")).select(F.col("x.h").alias("h"), F.get("lines", F.col("x.no")).alias("line"))
 
-    mine = lines_of(first)
+    mine = lines_of(first.where(F.col("n") >= least_chars))
     index = mine.select("h", F.explode(segment_keys(F.col("line"), threshold)).alias("key"))
     probes = mine.select("h", F.explode(probe_keys(F.col("line"), threshold)).alias("key"))
     pairs = probes.withColumnRenamed("h", "a").join(index.withColumnRenamed("h", "b"), "key").where("a <> b")
@@ -139,7 +145,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     out = rows.withColumn("text", F.coalesce("text", F.lit(""))) if set(base.columns) == {"doc_id", "text"} else rows
     out = out.join(kept.hint("shuffle_hash"), ["__did", "__th"], "left")
     all_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    stay = F.filter(all_lines, lambda x, i: (F.char_length(x) < least_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
+    stay = F.filter(all_lines, lambda x, i: (F.char_length(x) < exact_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
     out = out.select(*base.columns, F.size(all_lines).cast("long").alias("n_lines"), stay.alias("__left"))
     return out.select(*base.columns, "n_lines", (F.col("n_lines") - F.size("__left")).alias("n_removed"), F.array_join("__left", "\n").alias("kept_text"))
 

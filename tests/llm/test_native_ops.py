@@ -124,3 +124,9 @@ def test_masks_lose_nothing():
 
     for bad in combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):
         assert any(not any(o + x in bad for x in m) for m in decontaminate.MASKS for o in range(decontaminate.WINDOW - m[-1]))
+
+
+def test_short_exact_repeats_go(spark):
+    rows = [(1, "sixteen letters!\n}\nother line here"), (2, "sixteen letters!\n}\nsixteen lettersX"), (3, "日本語の文\n日本語の文\n}")]
+    kept = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.deduplicated_lines(frame(spark, rows)).collect()}
+    assert kept == {1: (0, rows[0][1]), 2: (1, "}\nsixteen lettersX"), 3: (1, "日本語の文\n}")}
