@@ -27,11 +27,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that occur, or nearly occur, earlier. A document
-    goes if lines were taken and none of the comparable length is left."""
+    goes only if lines were taken and nothing but blank ones is left."""
     names = docs.columns
     out = lines.deduplicated_lines(docs)
-    left = F.exists(F.split("kept_text", "\n", -1), lambda x: F.char_length(x) >= lines.LEAST_CHARS)
-    out = out.where((F.col("n_removed") == 0) | left)
+    out = out.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"(?U)\S"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     changed = {"text": text}
     if "n_chars" in names:

@@ -56,3 +56,13 @@ def test_odd_rows_and_extra_columns(spark, tmp_path):
         assert out.columns == docs.columns
         assert sorted(r.score for r in out.collect()) == [1, 2, 3, 4, 5], name
     assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 5
+
+
+def test_line_dedup_keeps_short_unique_lines(spark):
+    import corpus_pipeline as cp
+
+    header = "a header line of more than 24 characters"
+    rows = [(1, header + "\nfirst verse"), (2, header + "\n日本語\nsecond verse"), (3, header + "\n \n\t"), (4, "first verse\n" + header), (5, ""), (6, header + "\nab")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.line_dedup(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("日本語\nsecond verse", 16), 5: ("", 0), 6: ("ab", 2)}
