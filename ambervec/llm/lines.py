@@ -9,6 +9,8 @@ from .common import documents, staged
 
 THRESHOLD, LEAST_CHARS = 2, 24  # two edits in 24 characters: a share of 1/12
 EXACT_CHARS = 4
+CROWD, BLOCK = 32, 128  # members of a key whose pairs are compared; lines of a block
+BROADCAST_KEYS = 1 << 20  # 8 MB of keys
 _LAST = (1 << 63) - 1
 
 
@@ -20,32 +22,39 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(i) > short, 1).otherwise(0)).cast("int")
 
 
-def segment_keys(line: Column, threshold: int) -> Column:
+def segment_keys(line: Column, threshold: int) -> list[Column]:
     """Keys under which a line is found: its length, a segment's number and text."""
     n = F.char_length(line)
     out = []
     for i in range(1, threshold + 2):
         start, size = _segment(n, i, threshold + 1)
         out.append(F.xxhash64(F.lit(i), n, F.substring(line, start, size)))
-    return F.array(*out)
+    return out
 
 
 def probe_keys(line: Column, threshold: int) -> Column:
-    """Keys under which a line of at least the same length looks for lines within
-    ``threshold`` edits: for each length and segment, the substrings whose shift
-    the edits left (i - 1) and right of the segment allow."""
+    """Keys under which a line looks for lines of its own or a smaller length within
+    ``threshold`` edits, as structs (key, i, d, sg): for each lesser length by d and
+    segment i, the substrings whose shift sg the edits left (i - 1) and right of the
+    segment allow."""
     n, parts = F.char_length(line), threshold + 1
     out = []
     for less in range(threshold + 1):
         for i in range(1, parts + 1):
             start, size = _segment(n - less, i, parts)
             for shift in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + parts - i) + 1):
-                out.append(F.xxhash64(F.lit(i), n - less, F.substring(line, start + shift, size)))
+                key = F.xxhash64(F.lit(i), n - less, F.substring(line, start + shift, size))
+                out.append(F.struct(key.alias("key"), F.lit(i).alias("i"), F.lit(less).alias("d"), F.lit(shift).alias("sg")))
     return F.array(*out)
 
 
 def within(a: str, b: str, threshold: int) -> Column:
-    """Whether two lines of almost equal length are within ``threshold`` edits.
+    """Whether two lines of almost equal length are within ``threshold`` edits (see `within_sql`)."""
+    return F.expr(within_sql(a, b, threshold))
+
+
+def within_sql(a: str, b: str, threshold: int) -> str:
+    """SQL that says whether two lines are within ``threshold`` edits.
 
     Banded bit-parallel edit distance: the 2t+1 cells of a column around the
     diagonal are bits of one number, moved down a row with every column. The
@@ -62,7 +71,7 @@ def within(a: str, b: str, threshold: int) -> Column:
       'vp', ((s.vp & s.d0) | ~(shiftright(s.d0, 1) | s.vn | (~(s.d0 | s.vp) & {mask}L))) & {mask}L,
       'vn', shiftright(s.d0, 1) & (s.vn | (~(s.d0 | s.vp) & {mask}L)))"""
     # lambdas bind the pieces: p pattern characters, m their number
-    return F.expr(f"""
+    return f"""
       exists(transform(array(named_struct('p', filter(split({a}, ''), c -> true), 'q', split({b}, ''))), z ->
         if(abs(size(z.p) - size(z.q)) > {t}, {t} + 1,
           aggregate(
@@ -70,7 +79,7 @@ def within(a: str, b: str, threshold: int) -> Column:
             named_struct('k', 0, 'dist', {t}, 'vp', {mask & ~((1 << t) - 1)}L, 'vn', 0L),
             (r, x) -> aggregate(array(0), named_struct('k', r.k, 'dist', r.dist, 'vp', r.vp, 'vn', r.vn),
               (u, o) -> {_bound(step, d0, "size(z.p)")}),
-            r -> r.dist))), d -> d <= {t})""")
+            r -> r.dist))), d -> d <= {t})"""
 
 
 def _bound(step: str, d0: str, m: str) -> str:
@@ -83,38 +92,152 @@ def _bound(step: str, d0: str, m: str) -> str:
     return re.sub(r"\bs\.", "u.", out)
 
 
-def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None, exact_chars: int | None = None) -> DataFrame:
+# ------------------------------------------------------------- crowded keys
+#
+# A key says that two lines agree outside one hole that holds all edits, or outside
+# two holes that hold at most one each. Holes are places in the line that owns the
+# key (own), of length m; s1, e1 and s2, e2 are their limits (s2 = -1: one hole). A
+# line that is longer by d reads the text between two holes shifted by sg. A
+# segment is such a key with large holes. Smaller holes make finer keys.
+
+HOLES = ("s1", "e1", "s2", "e2")
+
+
+def _first_holes(entries: DataFrame) -> DataFrame:
+    """The holes of segment keys (threshold 2: columns n, i, d)."""
+    m = F.col("n") - F.col("d")
+    two, three = (_segment(m, i, 3)[0] - 1 for i in (2, 3))
+    i = F.col("i")
+    return entries.withColumns({
+        "s1": F.when(i == 1, two).otherwise(0), "e1": F.when(i == 1, m).when(i == 2, two).otherwise(three),
+        "s2": F.when(i == 2, three).otherwise(-1), "e2": F.when(i == 2, m).otherwise(-1), "sg": F.when(i == 2, F.col("sg")),
+    })
+
+
+def _pieces(s: str, e: str) -> str:
+    k = f"greatest(least(4, {e} - {s}), 1)"
+    return f"transform(sequence(0, {k} - 1), j -> named_struct('s', int({s} + ({e} - {s}) * j div {k}), 'e', int({s} + ({e} - {s}) * (j + 1) div {k})))"
+
+
+# one hole: all edits in a piece, or one in each of two; two holes: a piece of each
+_FINER = f"""if(s2 < 0,
+  flatten(transform(array({_pieces("s1", "e1")}), ps -> concat(
+    transform(ps, p -> named_struct('s1', p.s, 'e1', p.e, 's2', -1, 'e2', -1)),
+    flatten(transform(ps, p -> transform(filter(ps, q -> q.s >= p.e), q -> named_struct('s1', p.s, 'e1', p.e, 's2', q.s, 'e2', q.e))))))),
+  flatten(transform({_pieces("s1", "e1")}, p -> transform({_pieces("s2", "e2")}, q -> named_struct('s1', p.s, 'e1', p.e, 's2', q.s, 'e2', q.e)))))"""
+
+# shifts of the text between two holes, once there is one
+_SHIFTS = """CASE WHEN s2 < 0 OR e1 = s2 THEN array(named_struct('own', own, 'sg', CAST(null AS int)))
+  WHEN sg IS NOT NULL THEN array(named_struct('own', own, 'sg', sg))
+  WHEN d = 0 THEN array(named_struct('own', own, 'sg', 0), named_struct('own', false, 'sg', -1), named_struct('own', false, 'sg', 1))
+  WHEN d = 1 THEN array(named_struct('own', false, 'sg', 0), named_struct('own', false, 'sg', 1))
+  ELSE array(named_struct('own', false, 'sg', 1)) END"""
+
+_HOLE_KEY = """xxhash64(n - d, s1, e1, s2, e2, substring(line, 1, s1), if(s2 < 0, '', substring(line, e1 + coalesce(sg, 0) + 1, s2 - e1)),
+  substring(line, n - (n - d - if(s2 < 0, e1, e2)) + 1, n - d - if(s2 < 0, e1, e2)))"""
+
+
+def _finer(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """Entries (h, own, d, sg and the holes) under the keys of smaller holes."""
+    cut = entries.select("h", "own", "d", "sg", F.explode(F.expr(_FINER)).alias("x")).select("h", "own", "d", "sg", "x.*").distinct()
+    cut = cut.withColumn("y", F.explode(F.expr(_SHIFTS))).select("h", "d", *HOLES, "y.*")
+    return cut.join(lines, "h").select("h", "first", "own", "d", "sg", *HOLES, F.expr(_HOLE_KEY).alias("key"))
+
+
+def _later(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """(h) of the lines of which an earlier partner (a, b in any order) is within the threshold."""
+    both = pairs.join(lines.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la")), "a")
+    both = both.join(lines.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb")), "b")
+    # the engine's own thresholded distance turns most candidates down cheaply
+    near = both.where(F.levenshtein("la", "lb", threshold) >= 0).where(within("la", "lb", threshold))
+    return near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
+
+
+def _in_blocks(entries: DataFrame, gone: DataFrame, lines: DataFrame, threshold: int, block: int) -> DataFrame:
+    """(h) of lines near an earlier member of their key: blocks of lines meet as arrays."""
+    size = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = entries.select("key", "h", "first", "own").join(size, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    rows = rows.join(lines.select("h", "line"), "h")
+    line = F.collect_list(F.struct("first", "h", "own", "line"))
+    all_of = rows.groupBy("key", "block").agg(line.alias("ys"))
+    asked = rows.join(gone, "h", "left_anti").groupBy("key", "block").agg(F.first("blocks").alias("blocks"), line.alias("xs"))
+    asked = asked.select("key", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = "x -> exists(ys, y -> y.first < x.first AND (x.own OR y.own) AND levenshtein(x.line, y.line, {0}) >= 0 AND {1})"
+    hit = F.expr(f"filter(xs, {near.format(threshold, within_sql('x.line', 'y.line', threshold))})")
+    return asked.join(all_of, ["key", "block"]).select(F.explode(hit).alias("x")).select(F.col("x.h").alias("h")).distinct()
+
+
+def _in_crowds(entries: DataFrame, gone: DataFrame, lines: DataFrame, threshold: int, crowd: int, block: int) -> DataFrame:
+    """``gone`` and the lines near an earlier line with which they share a crowded key.
+
+    In every round the earliest owner of a key meets all its members. If at most
+    ``crowd`` of them are not gone, these meet all earlier members; else all go on to
+    the keys of smaller holes, where lines stay together only if they agree in more
+    of their text. Holes of one character end this: what is still crowded then
+    differs in two places only and meets in blocks.
+    """
+    while True:
+        lead = entries.where("own").groupBy("key").agg(F.min(F.struct("first", "h")).alias("lead"))
+        star = entries.join(lead, "key").where(F.col("h") != F.col("lead.h")).select(F.col("h").alias("a"), F.col("lead.h").alias("b")).distinct()
+        gone = staged(gone.unionByName(_later(star, lines, threshold)).distinct(), "gone")
+        alive = entries.join(gone, "h", "left_anti")
+        left = staged(alive.groupBy("key").agg(F.count(F.lit(1)).alias("left")), "left")
+        few = alive.join(left.where(F.col("left") <= crowd).select("key"), "key").select("key", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("own").alias("oa"))
+        pairs = few.join(entries.select("key", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("own").alias("ob")), "key")
+        pairs = pairs.where((F.col("oa") | F.col("ob")) & (F.col("fb") < F.col("fa"))).select("a", "b").distinct()
+        gone = staged(gone.unionByName(_later(pairs, lines, threshold)).distinct(), "gone")
+        rest = entries.join(left.where(F.col("left") > crowd).select("key"), "key", "left_semi")
+        open_holes = F.lit(threshold == 2) & (F.greatest(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2")) > 1)
+        last, rest = staged(rest.where(~open_holes), "last"), staged(rest.where(open_holes), "rest")
+        if not last.isEmpty():
+            gone = staged(gone.unionByName(_in_blocks(last, gone, lines, threshold, block)).distinct(), "gone")
+        if rest.isEmpty():
+            return gone
+        finer = staged(_finer(rest, lines), "entries")
+        # a key goes on if it has an owner and another member, one of them not gone
+        met = finer.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("owned")).where("owned and lo < hi").select("key")
+        met = met.join(finer.join(gone, "h", "left_anti").select("key").distinct(), "key", "left_semi")
+        entries = staged(finer.join(met, "key", "left_semi"), "entries")
+
+
+def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None, exact_chars: int | None = None, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Remove lines that equal, or are within ``threshold`` edits of, a line that
     occurs earlier (by doc_id, then line number).
 
     Exact repeats go from ``exact_chars`` characters on (4, so that braces and the
     like stay; ``least_chars`` where only that is given). Near repeats go from
     ``least_chars`` characters on (24: in shorter lines two edits often make another
-    text). Lines are judged on the input, not on what is left. Lines are cut into
-    threshold + 1 segments: two lines within the threshold share one segment at
-    a nearby place, so substrings of each line probe an index of (length,
-    segment number, segment); what is found is turned down by Spark's thresholded edit distance or verified by `within`. Equal lines
-    meet once, as their first occurrence, so a line of a third of all documents
-    is no hot key. Lines count as equal if lengths and 64-bit hashes are.
-
-    Adds n_lines, n_removed and kept_text and keeps all other columns (those
-    three are replaced). Null and empty texts: one empty line, never removed. A
-    null id counts as larger than all others; rows of equal id and text are one
+    text; at least threshold + 1). Lines are judged on the input, not on what is
+    left. Lines are cut into threshold + 1 segments: two lines within the threshold
+    share one segment at a nearby place, so substrings of each line probe an index
+    of (length, segment number, segment). Candidates are turned down by Spark's
+    thresholded edit distance or verified by `within`. Equal lines meet once, as
+    their first occurrence, so a line of a third of all documents is no hot key.
+    A segment of more than ``crowd`` different lines of one length is not expanded
+    into its pairs: see `_in_crowds`. Lines count as equal if lengths and 64-bit
+    hashes are.
+
+    Adds n_lines, n_removed and kept_text and keeps all other columns as they are
+    (those three are replaced). Null and empty texts: one empty line, never removed.
+    A null id counts as larger than all others; rows of equal id and text are one
     document, so repeating a row removes nothing. Empty table: no rows.
     """
     if exact_chars is None:
         exact_chars = EXACT_CHARS if least_chars is None else least_chars
-    least_chars = LEAST_CHARS if least_chars is None else least_chars
+    least_chars = max(threshold + 1, LEAST_CHARS if least_chars is None else least_chars)
     base = docs.drop("n_lines", "n_removed", "kept_text")
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__did")
     th = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")
     rows = base.select("*", did, th)
     text = rows.select("__did", "__th", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.split("text", "\n", -1)
+    names = [f"k{i}" for i in range(threshold + 1)]
 
     seen = text.select("__did", "__th", F.posexplode(lines).alias("no", "line")).where(F.char_length("line") >= exact_chars)
-    seen = seen.select("__did", "__th", "no", F.xxhash64("line").alias("h"), F.char_length("line").alias("n"))
-    first = staged(seen.groupBy("h", "n").agg(F.min(F.struct("__did", "__th", "no")).alias("first")), "first")
+    keys = [F.when(F.char_length("line") >= least_chars, k).alias(c) for c, k in zip(names, segment_keys(F.col("line"), threshold))]
+    seen = seen.select("__did", "__th", "no", F.xxhash64("line").alias("h"), F.char_length("line").alias("n"), *keys)
+    first = staged(seen.groupBy("h", "n").agg(F.min(F.struct("__did", "__th", "no")).alias("first"), *(F.min(c).alias(c) for c in names)), "first")
+    long = first.where(F.col("n") >= least_chars)
 
     def lines_of(some: DataFrame) -> DataFrame:
         """(h, line) for first occurrences: each document gets the list of its own."""
@@ -122,28 +245,34 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
         cut = text.join(lists.hint("shuffle_hash"), ["__did", "__th"]).select("own", lines.alias("lines"))
         return cut.select("lines", F.explode("own").alias("x")).select(F.col("x.h").alias("h"), F.get("lines", F.col("x.no")).alias("line"))
 
-    mine = lines_of(first.where(F.col("n") >= least_chars))
-    index = mine.select("h", F.explode(segment_keys(F.col("line"), threshold)).alias("key"))
-    probes = mine.select("h", F.explode(probe_keys(F.col("line"), threshold)).alias("key"))
-    pairs = probes.withColumnRenamed("h", "a").join(index.withColumnRenamed("h", "b"), "key").where("a <> b")
+    index = long.select("h", F.explode(F.array(*names)).alias("key"))
+    probes = lines_of(long).select("h", F.explode(probe_keys(F.col("line"), threshold)).alias("x")).select("h", "x.*")
+    crowds = staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowds")
+    crowded = crowds.count()
+    if 0 < crowded <= BROADCAST_KEYS:
+        crowds = F.broadcast(crowds)
+    some = index.join(crowds, "key", "left_anti") if crowded else index
+    pairs = probes.select(F.col("h").alias("a"), "key").join(some.withColumnRenamed("h", "b"), "key").where("a <> b")
     pairs = staged(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("h"))
+    if crowded:
+        own = long.select("h", F.posexplode(F.array(*names)).alias("i", "key")).join(crowds, "key")
+        own = own.select("h", "key", F.lit(True).alias("own"), (F.col("i") + 1).alias("i"), F.lit(0).alias("d"), F.lit(0).alias("sg"))
+        # an owner looks for lines of its length by its own segments
+        asks = probes.where("d > 0 or sg <> 0").join(crowds, "key").select("h", "key", F.lit(False).alias("own"), "i", "d", "sg")
+        entries = staged(own.unionByName(asks), "entries")
+        met = met.unionByName(entries.select("h"))
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = first.join(met, "h", "left_semi")
-    texts = lines_of(wanted)
-    where = staged(wanted.select("h", "first").join(texts, "h"), "lines")
-    both = pairs.join(where.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la")), "a")
-    both = both.join(where.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb")), "b")
-    # the engine's own thresholded distance turns most candidates down cheaply
-    likely = both.where(F.levenshtein("la", "lb", threshold) >= 0)
-    near = likely.where(within("la", "lb", threshold))
-    # of a near pair, the line that occurs first stays
-    gone = near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
-    gone = staged(gone, "gone")
+    wanted = first.join(met.distinct(), "h", "left_semi")
+    found = staged(wanted.select("h", "n", "first").join(lines_of(wanted), "h"), "lines")
+    gone = staged(_later(pairs, found, threshold), "gone")
+    if crowded:
+        entries = entries.join(found.select("h", "n", "first"), "h")
+        entries = _first_holes(entries) if threshold == 2 else entries.withColumns({c: F.lit(0) for c in HOLES})
+        gone = _in_crowds(staged(entries.select("h", "first", "own", "d", "sg", *HOLES, "key"), "entries"), gone, found, threshold, crowd, block)
 
     kept = first.join(gone, "h", "left_anti").groupBy(F.col("first.__did").alias("__did"), F.col("first.__th").alias("__th")).agg(F.collect_list("first.no").alias("__stay"))
-    out = rows.withColumn("text", F.coalesce("text", F.lit(""))) if set(base.columns) == {"doc_id", "text"} else rows
-    out = out.join(kept.hint("shuffle_hash"), ["__did", "__th"], "left")
+    out = rows.join(kept.hint("shuffle_hash"), ["__did", "__th"], "left")
     all_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     stay = F.filter(all_lines, lambda x, i: (F.char_length(x) < exact_chars) | F.coalesce(F.array_contains("__stay", i), F.lit(False)))
     out = out.select(*base.columns, F.size(all_lines).cast("long").alias("n_lines"), stay.alias("__left"))

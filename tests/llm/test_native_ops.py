@@ -130,3 +130,78 @@ def test_short_exact_repeats_go(spark):
     rows = [(1, "sixteen letters!\n}\nother line here"), (2, "sixteen letters!\n}\nsixteen lettersX"), (3, "日本語の文\n日本語の文\n}")]
     kept = {r.doc_id: (r.n_removed, r.kept_text) for r in lines.deduplicated_lines(frame(spark, rows)).collect()}
     assert kept == {1: (0, rows[0][1]), 2: (1, "}\nsixteen lettersX"), 3: (1, "日本語の文\n}")}
+
+
+def near_earlier(texts):
+    """Numbers of the lines that an earlier line is within two edits of."""
+    got, by = set(), {}
+    for k, s in enumerate(texts):
+        if any(within_two(s, o) for n in range(len(s) - 2, len(s) + 3) for o in by.get(n, ())):
+            got.add(k)
+        by.setdefault(len(s), []).append(s)
+    return got
+
+
+def within_two(a, b, t=2):
+    """Edit distance by the furthest places of the diagonals."""
+    far = {0: 0}
+    for e in range(t + 1):
+        if e:
+            far = {d: max(far.get(d, -9) + 1, far.get(d - 1, -9), far.get(d + 1, -9) + 1) for d in range(-e, e + 1)}
+        for d, i in far.items():
+            while 0 <= i < len(a) and 0 <= i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            far[d] = i
+            if i >= len(a) and i + d >= len(b):
+                return True
+    return False
+
+
+def crowds():
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    base = word(90)
+
+    def changed(s, times):
+        s = list(s)
+        for _ in range(times):
+            k = rng.randrange(len(s))
+            s[k : k + 1] = rng.choice([[], [rng.choice("xyz")], [s[k], rng.choice("xyz")]])
+        return "".join(s)
+
+    one_word = []
+    for _ in range(500):
+        k = rng.randrange(0, 80)
+        one_word.append(base[:k] + word(8) + base[k + 8 :])
+    return {
+        "near": ["the same line number %04d of a long list of lines" % (k % 50 + 100 * (k // 50 % 40)) for k in range(2000)],
+        "far": [base[:40] + word(50) for _ in range(2000)],
+        "one word": one_word,
+        "edits": [changed(base, rng.randint(0, 4)) for _ in range(700)],
+        "short": [changed("abcabcabcabcabcabcabcabcabc", rng.randint(0, 4)) for _ in range(500)],
+    }
+
+
+@pytest.mark.parametrize("crowd,block", [(32, 128), (2, 3)])
+@pytest.mark.parametrize("kind", list(crowds()))
+def test_crowded_segments(spark, kind, crowd, block):
+    texts = list(dict.fromkeys(crowds()[kind]))
+    if crowd == 2:
+        texts = texts[:250]
+    out = lines.deduplicated_lines(frame(spark, enumerate(texts)), crowd=crowd, block=block).where("n_removed > 0")
+    long = [s for s in texts if len(s) >= lines.LEAST_CHARS]
+    assert {texts[r.doc_id] for r in out.collect()} == {long[k] for k in near_earlier(long)}
+
+
+def test_lines_with_small_crowds(spark):
+    """Blocks alone (one edit) and finer holes give what pairs give."""
+    texts = list(dict.fromkeys(crowds()["short"]))[:200]
+    for t in (1, 2):
+        want = {r.doc_id for r in lines.deduplicated_lines(frame(spark, enumerate(texts)), t, crowd=10**6).where("n_removed > 0").collect()}
+        assert want and want == {r.doc_id for r in lines.deduplicated_lines(frame(spark, enumerate(texts)), t, crowd=1, block=2).where("n_removed > 0").collect()}
+
+
+def test_null_texts_stay_null(spark):
+    for columns in (["doc_id", "text"], ["doc_id", "text", "words"]):
+        rows = lines.deduplicated_lines(frame(spark, [(1, None), (2, "")]).select(*columns)).collect()
+        assert {r.doc_id: (r.text, r.n_lines, r.n_removed, r.kept_text) for r in rows} == {1: (None, 1, 0, ""), 2: ("", 1, 0, "")}
