@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, Words, batch_slices, documents, from48, low48, mix, powers, span_hash, staged, text_buffer, whole_runs, window_hash
@@ -58,7 +59,10 @@ def _signatures(sets: np.ndarray, first: np.ndarray, perms: int) -> np.ndarray:
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+
+
+TEXT_HASH = "xxhash64(coalesce(text, '')) AS text_hash"
 
 
 def _signed(docs: DataFrame, width: int, perms: int, rows: int) -> DataFrame:
@@ -81,13 +85,13 @@ def _signed(docs: DataFrame, width: int, perms: int, rows: int) -> DataFrame:
                 digest = mix(pre[:, first[1:]] - pre[:, first[:-1]] + n.astype(np.uint64)).view(np.int64)
                 sketch = (sig >> U64(40)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1]),
+                    [part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest[0]), pa.array(digest[1]),
                      pa.ListArray.from_arrays(np.arange(0, len(sig) * bands + 1, bands, dtype=np.int32), pa.array(key.view(np.int64).ravel())),
                      pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", F.expr(TEXT_HASH), "text").mapInArrow(run, SIGNED)
 
 
 def _sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -252,37 +256,25 @@ def _then_none(batches):
     yield None
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 48, rows: int = 4, block: int = 4096) -> DataFrame:
-    """Classes of documents linked by ``100 * intersection >= percent * union``.
-
-    A document's set is its distinct shingles of ``width`` lower-cased words.
-    Every permutation gives two signature values, its minimum and its maximum;
-    bands of ``rows`` values become bucket keys (48 permutations, 24 bands: a
-    link at 0.8 is missed with probability 3e-6). Equal sets are one class and
-    meet once. In every bucket the least class is compared with the others; all
-    links are confirmed on full sets. Buckets that still hold several components
-    are searched where they lie, in blocks of at most ``block`` members: pairs
-    between components that sizes and sketches allow are compared on full sets
-    until they are one component, so no bucket is expanded into its pairs and no
-    link is lost for a cap.
-
-    Returns doc_id, n_shingles, component_id (least doc_id reachable, itself
-    included), kept (doc_id = component_id). Null and empty texts: no shingles,
-    linked with nothing. Null ids: linked with nothing, kept. Repeated rows of
-    one id share a component. Empty table: no rows. Other columns are left out.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int, perms: int, rows: int, block: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, rep): every row with the least (doc_id, text_hash)
+    of its component; null where it has no shingles or no id. See `near_duplicates`."""
     signed = staged(_signed(docs, width, perms, rows), "signed")
     sets_known = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = sets_known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = staged(classes, "classes")
+    classes = sets_known.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # a class is named by its set's digest; classes that share its first half get the next numbers
+    number = F.row_number().over(W.partitionBy("set_a").orderBy("set_b", "n_shingles")) - 1
+    classes = staged(classes.withColumn("cid", F.col("set_a") + number), "classes")
     banded = classes.select("cid", F.explode("bands").alias("key"))
     hot = banded.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).where("leader < last")
     members = staged(banded.join(hot, "key").select("key", "cid", "leader"), "members")
     met = members.select("cid").distinct()
-    sized = classes.join(met, "cid").select("cid", "n_shingles", "sketch", "bands")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(met, "cid", "left_semi")
+    known = classes.join(met, "cid")
+    sized = staged(known.select("cid", "n_shingles", "sketch", "bands"), "sized")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(TEXT_HASH), "text").join(known.select("cid", "rep.doc_id", "rep.text_hash"), ["doc_id", "text_hash"])
+    # a repeated row is read once
+    wanted = wanted.groupBy("cid").agg(F.min("text").alias("text"))
     sets = staged(_sets_of(wanted, width), "sets")
-    sized = staged(sized, "sized")
 
     n = sized.select("cid", "n_shingles")
     fits = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
@@ -304,21 +296,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: i
     if not more.isEmpty():
         labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    by_class = classes.select("set_a", "set_b", "n_shingles", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
-    by_class = by_class.select("set_a", "set_b", "n_shingles", F.coalesce("label", "cid").alias("component"))
-    alone = F.col("component").isNull() | F.col("doc_id").isNull()
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    by_class = classes.select("set_a", "set_b", "n_shingles", "cid", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    least = by_class.groupBy("label").agg(F.min("rep").alias("rep"))
+    by_class = by_class.drop("rep").join(least, "label").select("set_a", "set_b", "n_shingles", "rep")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(by_class, ["set_a", "set_b", "n_shingles"], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, perms: int = 48, rows: int = 4, block: int = 4096) -> DataFrame:
+    """Classes of documents linked by ``100 * intersection >= percent * union``.
+
+    A document's set is its distinct shingles of ``width`` lower-cased words (as
+    48-bit hashes). Every permutation gives two signature values, its minimum and
+    its maximum; bands of ``rows`` values become bucket keys (48 permutations, 24
+    bands: a link at 0.8 is missed with probability 3e-6; up to 2e-5 for sets of
+    less than ten shingles, whose minima and maxima depend on each other). Equal
+    sets are one class and meet once. In every bucket the least class is compared
+    with the others; all links are confirmed on full sets. Buckets that still hold
+    several components are searched where they lie, in blocks of at most ``block``
+    members: pairs between components that sizes and sketches allow are compared on
+    full sets until they are one component, so no bucket is expanded into its pairs
+    and no link is lost for a cap.
+
+    Returns doc_id, n_shingles, component_id (least doc_id reachable, itself
+    included), kept (doc_id = component_id). Null and empty texts: no shingles,
+    linked with nothing. Null ids: linked with nothing, kept. Every row is a
+    document of its own text: rows that repeat an id with another text are linked by
+    their text alone, rows of equal texts share a component. Empty table: no rows.
+    Other columns are left out.
+    """
+    out = _grouped(docs, width, percent, perms, rows, block)
+    out = out.select("doc_id", "n_shingles", F.coalesce("rep.doc_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose group of near copies has a smaller id.
+    """``docs`` with one document of each group of near copies: that of the least id (of
+    several texts of this id, one).
 
-    All columns are kept. Rows of null id stay; see `near_duplicates` for the rest.
+    Rows are told apart by id and text: of rows (1, a), (5, a), (5, b), (7, b) the
+    first and third stay. Repeated rows are one document and stay together. Rows of
+    null id or without words stay. All columns are kept.
     """
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rep = F.struct("doc_id", "text_hash")
+    gone = _grouped(docs, width, percent, 48, 4, 4096).where(F.col("rep").isNotNull() & (F.col("rep") != rep)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumn("__th", F.expr("xxhash64(coalesce(text, ''))"))
+    return rows.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__th") == F.col("__hash")), "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

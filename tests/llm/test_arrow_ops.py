@@ -128,12 +128,35 @@ def test_chat(spark):
             want = hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
             assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars) == (len(own), want, len(loss))
             assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    for r in windows.collect():
-        assert r.n_turns == 1 or r.n_tokens <= 300 or r.over_budget
-    assert any(r.n_repeated for r in windows.collect())
+    counter, seen = PieceCounts(P.path("piece_bpe_32k.model")), windows.collect()
+    for r in seen:
+        turns = chat.parse(r.text)
+        cost = [counter.count([f"<|turn:{chat._escape_role(role)}|>{chat.escape(body)}<|end|>\n"])[0] for role, body, _, _ in turns]
+        first = next(iter(sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: x[1])))
+        kept = int(r.window > 0 and first[2] == "system")
+        assert r.n_tokens == sum(cost) and len(turns) == r.n_repeated + r.n_turns and r.over_budget == (r.n_tokens > 300)
+        assert not kept or turns[0][:2] == ("system", first[3] or "")
+        assert sum(cost[kept : r.n_repeated]) <= 120 and r.n_repeated - kept <= 2
+        # over the budget only where the system turn and one turn alone are
+        assert r.n_tokens <= 300 or (r.n_turns == 1 and r.n_repeated == kept)
+    assert any(r.n_repeated > 1 for r in seen) and any(r.over_budget for r in seen)
     assert chat.read_back(chat.chat_windows(df.limit(0), P.path("piece_bpe_32k.model"))).count() == 0
 
 
+def test_chat_history_goes_before_the_budget_breaks():
+    def windows(costs, first="system"):
+        conv = chat._Conversation(1, 2048, 512, 2)
+        out = [w for k, n in enumerate(costs) for w in conv.add((first if k == 0 else "user", str(k), n))]
+        return [([m[1] for m in chat.parse(w[5])], w[3], w[7], w[8]) for w in [*out, conv.close()]]
+
+    # 900 of system and 500 of history leave no room for 1000: the history goes
+    assert windows([900, 600, 500, 1000, 10]) == [(["0", "1", "2"], 3, 2000, False), (["0", "3", "4"], 2, 1910, False)]
+    # a large system turn stays, and only it and one turn pass the budget
+    assert windows([1500, 300, 1000, 200, 100]) == [(["0", "1"], 2, 1800, False), (["0", "2"], 1, 2500, True), (["0", "3", "4"], 2, 1800, False)]
+    assert windows([100, 200, 1700, 300, 40], "user") == [(["0", "1", "2"], 3, 2000, False), (["3", "4"], 2, 340, False)]
+    assert windows([1000, 200, 300, 600, 40], "user") == [(["0", "1", "2"], 3, 1500, False), (["1", "2", "3", "4"], 2, 1140, False)]
+
+
 def test_substrings(spark):
     rows = corpus()
     rows += [(100 + k, t) for k, (_, t) in enumerate(corpus(3, 10))]
@@ -225,6 +248,15 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_ids_of_other_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (8, a + " more"), (None, a), (9, ""), (9, None)]
+    out = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
+    assert out == [(-1, -1, True), (1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (7, 5, False), (8, 1, False), (9, 9, True), (9, 9, True)]
+    left = sorted((r.doc_id or -1, r.text or "") for r in near_dedup.one_of_each(frame(spark, rows)).collect())
+    assert left == sorted([(1, a), (5, b), (-1, a), (9, ""), (9, "")])
+
+
 def test_quality_learns(spark):
     rng = random.Random(0)
     rows, labels = [], []
