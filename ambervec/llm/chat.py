@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,55 +60,64 @@ def _prepared(turns: DataFrame, model: str) -> DataFrame:
 
 
 class _Conversation:
-    """One conversation in the making; holds no more than a window's turns."""
+    """One conversation in the making; holds no more than a window's turns and history.
+
+    ``turns`` are the held turns, ``sums`` the prefix sums of their tokens: sums[i]
+    counts all turns of the conversation before held turn i. ``lo`` and ``start`` are
+    the first repeated and the first new turn of the open window.
+    """
 
     def __init__(self, conv_id, budget: int, history: int, history_turns: int):
         self.conv_id, self.budget, self.history, self.history_turns = conv_id, budget, history, history_turns
-        self.system, self.past, self.new, self.window, self.at = None, [], [], 0, 0
+        self.turns, self.sums, self.lo, self.start, self.system, self.window, self.at = [], [0], 0, 0, None, 0, 0
 
-    def _repeated(self) -> list[tuple]:
-        out, room = [], self.history
-        for t in reversed(self.past[-self.history_turns :] if self.history_turns else []):
-            if t is self.system or t[2] > room:
-                break
-            out.append(t)
-            room -= t[2]
-        return ([self.system] if self.system and self.window else []) + out[::-1]
+    def _always(self) -> int:
+        """Tokens of the system turn that the open window repeats."""
+        return self.system[2] if self.system and self.window else 0
 
     def add(self, turn: tuple[str, str, int]):
-        if self.window == 0 and not self.new and turn[0] == "system" and 2 * turn[2] <= self.budget:
+        if self.at == 0 and not self.turns and turn[0] == "system":
             self.system = turn
-        # prefix sums: of the repeated turns, then of the turns from the window's start on
-        before = sum(t[2] for t in self._repeated())
-        if self.new and before + sum(t[2] for t in self.new) + turn[2] > self.budget:
+        if len(self.turns) > self.start and self._always() + self.sums[-1] + turn[2] - self.sums[self.lo] > self.budget:
             yield self.close()
-        self.new.append(turn)
+        if len(self.turns) == self.start:
+            # history goes before the budget breaks
+            room = max(0, min(self.history, self.budget - self._always() - turn[2]))
+            oldest = max(self.start - self.history_turns, int(self.system is not None and self.at == self.start), 0)
+            self.lo = min(self.start, max(oldest, bisect_left(self.sums, self.sums[self.start] - room)))
+        self.turns.append(turn)
+        self.sums.append(self.sums[-1] + turn[2])
 
     def close(self) -> tuple:
-        again = self._repeated()
+        again = ([self.system] if self.system and self.window else []) + self.turns[self.lo : self.start]
+        new = self.turns[self.start :]
         parts, loss, at = [], [], 0
-        for k, (role, body, _) in enumerate([*again, *self.new]):
+        for k, (role, body, _) in enumerate([*again, *new]):
             head = f"<|turn:{role}|>"
             if k >= len(again) and role == "assistant":
                 loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
             parts.append(f"{head}{body}<|end|>\n")
             at += len(parts[-1])
-        n = sum(t[2] for t in again) + sum(t[2] for t in self.new)
-        row = (self.conv_id, self.window, self.at, len(self.new), len(again), "".join(parts), loss, n, n > self.budget)
-        self.at += len(self.new)
-        self.past, self.new, self.window = self.new[-self.history_turns :] if self.history_turns else [], [], self.window + 1
+        n = self._always() + self.sums[-1] - self.sums[self.lo]
+        row = (self.conv_id, self.window, self.at, len(new), len(again), "".join(parts), loss, n, n > self.budget)
+        self.at += len(new)
+        past = max(0, len(self.turns) - self.history_turns)
+        self.turns, self.sums = self.turns[past:], self.sums[past:]
+        self.start, self.window = len(self.turns), self.window + 1
         return row
 
 
 def chat_windows(turns: DataFrame, model: str, budget: int = 2048, history: int = 512, history_turns: int = 2) -> DataFrame:
     """Format conversations (conv_id, turn, role, text) in windows of whole turns.
 
-    A window holds as many turns as fit ``budget`` tokens (one at least; a
-    longer turn makes a window of its own, marked over_budget). Later windows
-    begin with the system turn and up to ``history_turns`` earlier turns of at
-    most ``history`` tokens; these ``n_repeated`` turns bear no loss, so each
-    assistant text is under the loss mask once. Control strings inside texts
-    and roles are escaped reversibly.
+    Spans of turns are chosen by prefix sums of the turns' tokens: a window holds as
+    many turns as fit ``budget`` tokens, one at least. Later windows begin with the
+    system turn, always, and up to ``history_turns`` earlier turns of at most
+    ``history`` tokens; history is left out, oldest turns first, where the window's
+    first new turn would not fit beside it. A window passes the budget, and is marked
+    over_budget, only if the system turn and one new turn alone do. The
+    ``n_repeated`` turns bear no loss, so each assistant text is under the loss mask
+    once. Control strings inside texts and roles are escaped reversibly.
 
     Turns are escaped and counted where they lie; then each conversation is read
     once, in order of (turn, role, text), as a stream that holds one window. A
