@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, size_in_bytes
+from .common import documents
 
-WINDOW, SUBSTITUTIONS, LEAST_WORDS = 13, 2, 5
+WINDOW, SUBSTITUTIONS = 13, 2
+ONE_WRONG = 7  # items of 7 to 12 words may have one word substituted
 # Any 13 words with at most 2 substitutions hold all places of this mask
 # unchanged somewhere (tested over all pairs of places), so one mask loses nothing.
 MASKS = ((0, 1, 3, 6, 7),)
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES, SEED_BYTES = 64 << 20, 64
+
+
+def short_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks for a whole item of n words: with one word wrong, its even or its odd
+    places are unchanged."""
+    return (tuple(range(0, n, 2)), tuple(range(1, n, 2))) if n >= ONE_WRONG else (tuple(range(n)),)
 
 
 def word_hashes(text: Column) -> Column:
@@ -26,65 +33,66 @@ def _seeds(masks: list[tuple[int, ...]]) -> Column:
     return F.expr(each[0] if len(each) == 1 else f"concat({', '.join(each)})")
 
 
-# h: (item_id, diagonal, item_words); words p of the item lie at p + diagonal
+# words: the document's words beside the item's, from the first place that both have
 _VERIFIED = f"""
-filter(hits, h -> exists(
-  array(transform(
-    sequence(greatest(0, -h.diagonal), greatest(greatest(0, -h.diagonal), least(size(h.item_words), size(words) - h.diagonal) - 1)),
-    p -> if(get(words, p + h.diagonal) <=> get(h.item_words, p), 1, 0))),
-  same -> CASE
-    WHEN size(h.item_words) < {WINDOW} THEN aggregate(same, 0, (a, x) -> a + x) = size(h.item_words)
-    WHEN size(same) < {WINDOW} OR aggregate(same, 0, (a, x) -> a + x) < {WINDOW - SUBSTITUTIONS} THEN false
-    ELSE exists(sequence(1, size(same) - {WINDOW} + 1), s -> aggregate(slice(same, s, {WINDOW}), 0, (a, x) -> a + x) >= {WINDOW - SUBSTITUTIONS}) END))
+exists(array(transform(words, (w, p) -> if(w <=> get(item_words, p + skip), 1, 0))), same -> CASE
+  WHEN n < {ONE_WRONG} THEN size(same) = n AND aggregate(same, 0, (a, x) -> a + x) = n
+  WHEN n < {WINDOW} THEN size(same) = n AND aggregate(same, 0, (a, x) -> a + x) >= n - 1
+  WHEN size(same) < {WINDOW} OR aggregate(same, 0, (a, x) -> a + x) < {WINDOW - SUBSTITUTIONS} THEN false
+  ELSE exists(sequence(1, size(same) - {WINDOW} + 1), s -> aggregate(slice(same, s, {WINDOW}), 0, (a, x) -> a + x) >= {WINDOW - SUBSTITUTIONS}) END)
 """
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
     """(doc_id, text_hash, items): documents that hold passages of the benchmark.
 
     A document holds an item if 13 consecutive words of the item lie in it, in
-    order and without gaps, with at most 2 words substituted. An item of 5 to 12
-    words must lie in it whole and unchanged; shorter items are not searched.
-
-    Spaced seeds of both sides are joined: a mask of five places that ignores
-    the places between them, at every word of every text (for an item of 5 to 12
-    words, all its words). What meets is a document, an item and a diagonal,
-    each once; then the aligned words of the documents with such hits are
-    compared. The benchmark's seeds are broadcast only up to 32 MB of stored
-    benchmark; a larger one is joined by shuffling.
+    order and without gaps, with at most 2 words substituted. A shorter item must
+    lie in it whole: with at most one word substituted if it has 7 to 12 words,
+    unchanged if it has fewer. An item of one common word so marks every document
+    that has the word; ``least_words`` leaves out items of fewer words. Items
+    without words are in no document.
+
+    Spaced seeds of both sides are joined: a mask of five places that ignores the
+    places between them, at every word of every text; for items of up to 12 words
+    masks over the whole item, for the lengths that occur. What meets is a document,
+    an item and a diagonal, each once; then the aligned words of the documents with
+    such hits are compared. The benchmark's seeds and words are broadcast if their
+    number, counted before, times 64 bytes is at most 64 MB; else they are joined by
+    shuffling.
     """
-    small = size_in_bytes(benchmark) <= BROADCAST_BYTES
-    side = F.broadcast if small else (lambda df: df)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).where(f"size(words) >= {LEAST_WORDS}")
-    short = [r[0] for r in items.where(f"size(words) < {WINDOW}").select(F.size("words")).distinct().collect()]  # at most eight lengths
-    masks = [*MASKS, *(tuple(range(n)) for n in sorted(short))]
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).where(F.size("words") >= max(1, least_words))
+    words = F.size("words")
+    # at most twelve lengths and a sum
+    total, short = items.agg(F.coalesce(F.sum(words), F.lit(0)), F.collect_set(F.when(words < WINDOW, words))).first()
+    masks = [(0, m) for m in MASKS] + [(n, m) for n in sorted(short) for m in short_masks(n)]
+    side = F.broadcast if total * len(masks) * SEED_BYTES <= BROADCAST_BYTES else (lambda df: df)
 
     def seeded(rows: DataFrame, *names: str) -> DataFrame:
         """The seeds of texts; only the names go along, not the words."""
-        out = rows.where("size(words) > 0").select(*names, F.size("words").alias("n"), F.posexplode(_seeds(masks)).alias("t", "seed"))
+        out = rows.where("size(words) > 0").select(*names, F.size("words").alias("n"), F.posexplode(_seeds([m for _, m in masks])).alias("t", "seed"))
         return out.select(*names, "n", F.expr("t % n").alias("at"), F.expr("cast(t div n AS int)").alias("mask"), "seed")
 
-    own = F.col("n") >= WINDOW
-    for k, mask in enumerate(masks):
-        fits = F.col("at") + mask[-1] < F.col("n")
-        this = F.col("mask") == k
-        own = own & (~this | fits) if k < len(MASKS) else own
-    whole = F.lit(False)
-    for k, mask in enumerate(masks[len(MASKS) :], len(MASKS)):
-        whole = whole | ((F.col("mask") == k) & (F.col("n") == len(mask)) & (F.col("at") == 0))
-    seeds = seeded(items, "item_id")
-    seeds = seeds.where((own & (F.col("mask") < len(MASKS))) | whole).select("item_id", "seed", F.col("at").alias("j"))
+    mine = F.lit(False)
+    for k, (n, mask) in enumerate(masks):
+        fits = (F.col("n") == n) & (F.col("at") == 0) if n else (F.col("n") >= WINDOW) & (F.col("at") + mask[-1] < F.col("n"))
+        mine = mine | ((F.col("mask") == k) & fits)
+    seeds = seeded(items, "item_id").where(mine).select("item_id", "seed", F.col("at").alias("j"), "n")
 
     ids = (F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
-    places = seeded(docs.select(*ids, word_hashes(F.col("text")).alias("words")), "doc_id", "text_hash")
-    met = places.join(side(seeds), "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("j")).alias("diagonal")).distinct()
-    met = met.join(side(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
-    met = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("item_id", "diagonal", "item_words")).alias("hits"))
+    places = seeded(docs.select(*ids, word_hashes(F.col("text")).alias("words")), "doc_id", "text_hash").drop("n")
+    met = places.join(side(seeds), "seed").select("doc_id", "text_hash", "item_id", "n", (F.col("at") - F.col("j")).alias("diagonal")).distinct()
+    met = met.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("item_id", "n", "diagonal")).alias("hits"))
     texts = docs.select(*ids, F.coalesce("text", F.lit("")).alias("text"))
     there = texts.join(met.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    found = there.select("doc_id", "text_hash", "hits", word_hashes(F.col("text")).alias("words")).select("doc_id", "text_hash", F.expr(_VERIFIED).alias("hits"))
-    found = found.select("doc_id", "text_hash", F.array_sort(F.array_distinct("hits.item_id")).alias("items")).where("size(items) > 0")
-    return found.dropDuplicates(["doc_id", "text_hash"])
+    # of each hit only the words beside the item go on
+    there = there.select("doc_id", "text_hash", "hits", word_hashes(F.col("text")).alias("all")).select("doc_id", "text_hash", "all", F.explode("hits").alias("h"))
+    skip = F.greatest(F.lit(0), -F.col("h.diagonal"))
+    beside = F.slice("all", F.col("h.diagonal") + skip + 1, F.col("h.n") - skip)
+    there = there.select("doc_id", "text_hash", F.col("h.item_id").alias("item_id"), F.col("h.n").alias("n"), skip.alias("skip"), beside.alias("words"))
+    there = there.join(side(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
+    found = there.where(F.size("item_words") == F.col("n")).where(F.expr(_VERIFIED))
+    return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, how: str) -> DataFrame:
@@ -114,20 +122,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("items").cast("long").alias("n_items"), F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"))
 
 
-# A run of four words is unchanged in any 13 words with at most 2 substitutions,
-# so runs of four find all candidates here.
+# A run of four words is unchanged in any 13 words with at most 2 substitutions, and
+# a run of three in any 7 to 12 words with one, so such runs find all candidates here.
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS v FROM benchmark),
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
-bp AS (SELECT item_id, v, unnest(range(1, len(v) - 2)) AS j FROM b WHERE len(v) >= 4),
+bp AS (SELECT item_id, v, unnest(range(1, len(v) - 2)) AS j FROM b WHERE len(v) >= 13),
 dk AS (SELECT doc_id, i, hash(w[i], w[i+1], w[i+2], w[i+3]) AS k FROM dp),
 bk AS (SELECT item_id, j, hash(v[j], v[j+1], v[j+2], v[j+3]) AS k FROM bp),
-diag AS (SELECT DISTINCT doc_id, item_id, i - j AS g FROM dk JOIN bk USING (k)),
+bq AS (SELECT item_id, v, unnest(range(1, len(v) - 1)) AS j FROM b WHERE len(v) BETWEEN 7 AND 12),
+bs AS (SELECT item_id, j, [v[j], v[j+1], v[j+2]] AS g FROM bq),
+ds AS (SELECT doc_id, i, w[i:i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 7 AND (SELECT count(*) FROM bs) > 0)),
+diag AS (SELECT DISTINCT doc_id, item_id, i - j AS g FROM dk JOIN bk USING (k) UNION SELECT DISTINCT doc_id, item_id, i - j AS g FROM ds JOIN bs USING (g)),
 same AS (SELECT doc_id, item_id, len(v) AS n, list_transform(range(greatest(1, 1 - g), least(len(v), len(w) - g) + 1), lambda p: CASE WHEN w[p + g] = v[p] THEN 1 ELSE 0 END) AS s FROM diag JOIN d USING (doc_id) JOIN b USING (item_id)),
+few AS (SELECT DISTINCT len(v) AS n FROM b WHERE len(v) BETWEEN 1 AND 6),
+dw AS (SELECT DISTINCT doc_id, w[i:i+n-1] AS v FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, few WHERE len(w) >= n)),
 hit AS (
   SELECT DISTINCT doc_id, item_id FROM same
   WHERE (n >= 13 AND len(s) >= 13 AND len(list_filter(range(1, len(s) - 11), lambda o: list_sum(s[o:o+12]) >= 11)) > 0)
-     OR (n BETWEEN 5 AND 12 AND len(s) = n AND list_sum(s) = n))
+     OR (n BETWEEN 7 AND 12 AND len(s) = n AND list_sum(s) >= n - 1)
+  UNION SELECT doc_id, item_id FROM dw JOIN b USING (v))
 SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id
 """

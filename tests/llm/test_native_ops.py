@@ -76,7 +76,8 @@ def test_lines(spark):
 def test_leaks(spark):
     rng = random.Random(3)
     vocab = [f"w{k}" for k in range(50)]
-    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([30, 20, 13, 14, 9, 5, 3, 40, 0])]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([30, 20, 13, 14, 9, 5, 3, 40, 0, 12, 7, 6, 4, 2, 8])]
+    items.append((60, "unusual"))
     rows = []
     for i in range(60):
         w = [rng.choice(vocab) for _ in range(rng.randint(0, 50))]
@@ -89,6 +90,8 @@ def test_leaks(spark):
                     part[rng.randrange(len(part))] = "Zz"
             w[3:3] = [x.upper() + "," for x in part]
         rows.append((i, " ".join(w)))
+    rows += [(200 + k, f"so {' '.join(x)} so") for k, (_, t) in enumerate(items) if (x := t.split()) and k > 3]
+    rows += [(300 + k, f"so {' '.join([*x[:2], 'Zz', *x[3:]])} so") for k, (_, t) in enumerate(items) if len(x := t.split()) > 2]
     rows += [(100, None), (101, ""), (None, items[0][1]), (None, "clean text"), (103, items[1][1]), (103, items[1][1])]
     bench = spark.createDataFrame([(k, t, "x") for k, t in items] + [(50, None, "x")], "item_id long, text string, doc_id string")
 
@@ -100,10 +103,11 @@ def test_leaks(spark):
         for k, it in items:
             v = words(it)
             n = 13 if len(v) >= 13 else len(v)
-            if n >= 5 and any(sum(x != y for x, y in zip(d[a : a + n], v[b : b + n])) <= (2 if n == 13 else 0) for a in range(len(d) - n + 1) for b in range(len(v) - n + 1)):
+            if n and any(sum(x != y for x, y in zip(d[a : a + n], v[b : b + n])) <= (2 if n == 13 else int(n > 6)) for a in range(len(d) - n + 1) for b in range(len(v) - n + 1)):
                 out.append(k)
         return out
 
+    assert {len(holds(t)) > 0 for i, t in rows if i and i >= 200} == {True, False} and holds("An UNUSUAL day") == [60]
     got = {}
     for r in decontaminate.flagged(frame(spark, rows), bench).collect():
         got.setdefault(r.doc_id, []).append(r)
@@ -117,6 +121,15 @@ def test_leaks(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, t in rows if not holds(t))
     assert decontaminate.decontaminated(frame(spark, rows), bench.limit(0)).count() == len(rows)
     assert decontaminate.flagged(frame(spark, rows).limit(0), bench).count() == 0
+    # items of few words can be left out, and a large benchmark gives the same by shuffling
+    few = decontaminate.leaks(frame(spark, rows), bench, 5).select("doc_id", "items").collect()
+    assert few and not any({6, 12, 13, 60} & set(r["items"]) for r in few)
+    whole = {(r.doc_id, r.text_hash): r["items"] for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    was, decontaminate.BROADCAST_BYTES = decontaminate.BROADCAST_BYTES, 0
+    try:
+        assert whole == {(r.doc_id, r.text_hash): r["items"] for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    finally:
+        decontaminate.BROADCAST_BYTES = was
 
 
 def test_masks_lose_nothing():
@@ -124,6 +137,30 @@ def test_masks_lose_nothing():
 
     for bad in combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):
         assert any(not any(o + x in bad for x in m) for m in decontaminate.MASKS for o in range(decontaminate.WINDOW - m[-1]))
+    for n in range(1, decontaminate.WINDOW):
+        for bad in range(n) if n >= decontaminate.ONE_WRONG else [-1]:
+            assert any(bad not in m for m in decontaminate.short_masks(n))
+
+
+def test_leaks_and_sql_agree(spark, tmp_path):
+    """The registered SQL and the query over items of all lengths."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(13)
+    vocab = [f"v{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([1, 2, 4, 6, 7, 8, 12, 13, 15, 40])] + [(90, None), (91, "")]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    for i in range(60, 160):
+        w = items[rng.randrange(10)][1].split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "zz"
+        docs.append((i, " ".join(["a", *w, "b"])))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(con.execute(decontaminate.SQL).fetchall())
+    assert len(want) > 60 and want == sorted((r.doc_id, r.n_items, r["items"]) for r in decontaminate.query(spark, str(tmp_path)).collect())
 
 
 def test_short_exact_repeats_go(spark):
