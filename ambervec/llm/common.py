@@ -3,10 +3,13 @@ arrays and the packed exchange of per-partition facts."""
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import threading
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +23,61 @@ _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share (``spark.checkpoint.dir``), this
+    application's part of it; it is deleted when the driver ends.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    made and set as the session's checkpoint folder.
+    Only where everything runs on one machine (tests) and the session names none, a
+    temporary folder is made and set as the session's checkpoint folder; a cluster
+    without one is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="ambervec-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = "file://" + base
-    return f"{base.rstrip('/')}/ambervec-{spark.sparkContext.applicationId}"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="ambervec-")
+        sc.setCheckpointDir(made)
+        base = "file://" + made
+    path = f"{base.rstrip('/')}/ambervec-{sc.applicationId}"
+    if path not in _CLEANED:
+        _CLEANED.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+_CLEANED: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class _Freeing:
+    """The session frees shuffle files after each query while any write is inside."""
+
+    def __init__(self):
+        self.lock, self.inside, self.before = threading.Lock(), 0, None
+
+    @contextmanager
+    def on(self, spark: SparkSession):
+        with self.lock:
+            if not self.inside:
+                self.before = spark.conf.get(_FREE, None)
+                spark.conf.set(_FREE, "true")
+            self.inside += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.inside -= 1
+                if not self.inside:
+                    spark.conf.unset(_FREE) if self.before is None else spark.conf.set(_FREE, self.before)
+
+
+_freeing = _Freeing()
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -42,12 +89,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
+    with _freeing.on(spark):
         df.select("*").write.parquet(path)
-    finally:
-        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -197,15 +240,15 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.nd
     return out
 
 
-def window_hash(wh: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values; shorter by width-1."""
-    n = len(wh) - width + 1
+def window_hash(wh: np.ndarray, width: int, seed: int = 1, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the runs of ``width`` consecutive values that start ``at`` these places (default: all)."""
+    n = max(0, len(wh) - width + 1) if at is None else len(at)
     if n <= 0:
         return np.zeros(0, np.uint64)
     acc = np.zeros(n, np.uint64)
     mul = U64((0xD1342543DE82EF95 if seed == 1 else 0xAF251AF3B0F025B5))
     for k in range(width):
-        acc = (acc + wh[k : k + n]) * mul
+        acc = (acc + (wh[k : k + n] if at is None else wh[at + k])) * mul
         acc ^= acc >> U64(29)
     return mix(acc)
 
@@ -279,17 +322,27 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def in_parts(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
-    """(pid, doc_id, text) and the number of parts: stable parts of about
-    ``part_bytes`` of the stored table, drawn from id and text so that neither
-    null nor repeated ids crowd in one part."""
-    parts = int(min(1_000_000, max(1, -(-size_in_bytes(docs) // part_bytes))))
+PARTS_A_BUCKET = 4
+
+
+def in_parts(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int, int]:
+    """(pid, doc_id, text), the number of parts and that of the buckets they ask:
+    stable parts of about ``part_bytes`` of the stored table, drawn from id and text
+    so that neither null nor repeated ids crowd in one part. (Rows of equal id and
+    text share a part.)
+
+    A part sends one message to each bucket that it has a question for, so messages
+    are at most parts times buckets, and never more than the different keys of the
+    parts, which grow with the corpus. There is a bucket for four parts: what it
+    reads is a fixed multiple of what a part asks, at any size.
+    """
+    parts = int(min((1 << 31) - 1, max(1, -(-size_in_bytes(docs) // part_bytes))))
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("pid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return rows, parts
+    return rows, parts, -(-parts // PARTS_A_BUCKET)
 
 
 def in_order(table: pa.Table) -> pa.Table:

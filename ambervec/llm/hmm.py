@@ -34,48 +34,58 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray
 
-    def forward(self, sym: np.ndarray, first: np.ndarray, keep: bool = False):
-        """Scaled forward recursion of many sequences at once, longest first.
-
-        Returns the scales (a factor of the likelihood for each token), and if
-        asked the scaled forward values and the sequences in step order.
-        """
-        n = np.diff(first)
-        order = np.argsort(-n, kind="stable")
-        at, n = first[:-1][order], n[order]
-        scale = np.ones(len(sym))
-        alphas = np.empty((len(sym), len(self.begin))) if keep else None
-        live = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0]) if len(n) else 0), "right")
-        a = None
-        for t, m in enumerate(live.tolist()):
-            place = at[:m] + t
-            a = (np.broadcast_to(self.begin, (m, len(self.begin))) if t == 0 else a[:m] @ self.move) * self.emit[sym[place]]
+    def _steps(self, a: np.ndarray | None, sym: np.ndarray, off: np.ndarray, first_step: bool, keep: bool):
+        """Scaled forward recursion over a block of steps, from the state ``a`` before it:
+        (scales, last state, and if asked all scaled forward values and the emissions)."""
+        e = self.emit[sym]
+        scale, alphas = np.empty(len(sym)), np.empty(e.shape) if keep else None
+        for t, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+            a = (self.begin if t == 0 and first_step else a[: hi - lo] @ self.move) * e[lo:hi]
             c = a.sum(1)
             a /= c[:, None]
-            scale[place] = c
+            scale[lo:hi] = c
             if keep:
-                alphas[place] = a
-        return (scale, alphas, at, live) if keep else scale
+                alphas[lo:hi] = a
+        return scale, a, alphas, e
+
+    def forward(self, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The scaled forward recursion of many sequences at once, longest first: a
+        factor of the likelihood for each token."""
+        out, a = np.ones(len(sym)), None
+        for place, off, t in _blocks_of_steps(first):
+            out[place], a, _, _ = self._steps(a, sym[place], off, t == 0, False)
+        return out
 
     def counts(self, sym: np.ndarray, first: np.ndarray):
-        """Expected begins, moves and emissions of the sequences (the E step)."""
+        """Expected begins, moves and emissions of whole sequences (the E step).
+
+        Blocks of steps bound the memory: the forward state is kept at the start of
+        each, and their forward values are computed again on the way back, so
+        nothing is cut at a block's edge.
+        """
         k = len(self.begin)
-        scale, alpha, at, live = self.forward(sym, first, True)
-        moves, gamma = np.zeros((k, k)), np.empty_like(alpha)
-        b = None
-        for t in range(len(live) - 1, -1, -1):
-            m = int(live[t])
-            place = at[:m] + t
-            beta = np.ones((m, k))
-            if b is not None and len(b):
-                nxt = at[: len(b)] + t + 1
-                w = b * self.emit[sym[nxt]] / scale[nxt][:, None]
-                moves += alpha[place[: len(b)]].T @ w
-                beta[: len(b)] = w @ self.move.T
-            gamma[place] = alpha[place] * beta
-            b = beta
-        emit = np.column_stack([np.bincount(sym, gamma[:, j], SYMBOLS + 1) for j in range(k)])
-        return gamma[first[:-1][np.diff(first) > 0]].sum(0), moves * self.move, emit
+        begin, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS + 1, k))
+        blocks, starts = list(_limits(first)), [None]
+        for cut in blocks[:-1]:
+            place, off, t = _block(first, *cut)
+            starts.append(self._steps(starts[-1], sym[place], off, t == 0, False)[1])
+        w = np.empty((0, k))  # beta * emission / scale of the step behind
+        for cut, start in zip(reversed(blocks), reversed(starts)):
+            place, off, t = _block(first, *cut)
+            s = sym[place]
+            scale, _, alpha, e = self._steps(start, s, off, t == 0, True)
+            e /= scale[:, None]
+            for lo, hi in zip(off[-2::-1].tolist(), off[:0:-1].tolist()):
+                moves += alpha[lo : lo + len(w)].T @ w
+                beta = np.ones((hi - lo, k))
+                beta[: len(w)] = w @ self.move.T
+                alpha[lo:hi] *= beta  # from here on the posterior
+                w = beta * e[lo:hi]
+            if t == 0:
+                begin += alpha[: off[1]].sum(0)
+            for j in range(k):
+                emit[:, j] += np.bincount(s, alpha[:, j], SYMBOLS + 1)
+        return begin, moves * self.move, emit
 
     @staticmethod
     def of(begin: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> "Hmm":
@@ -96,95 +106,98 @@ def _with_end(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, first + np.arange(len(first))
 
 
-def _segments(first: np.ndarray, size: int) -> np.ndarray:
-    """Limits of runs of at most ``size`` tokens of one sequence."""
-    cuts = [np.arange(a, b, size) for a, b in zip(first[:-1], first[1:])]
-    return np.append(np.concatenate(cuts), first[-1]) if cuts else first
+STEP_TOKENS = 1 << 19  # tokens of a block of steps: 100 MB of forward values and emissions
 
 
-def _start(docs: DataFrame, sample: int, windows: int, width: int) -> Hmm:
-    """First parameters: EM on windows spread over a bounded sample of training texts.
+def _limits(first: np.ndarray):
+    """(order, live, from, to): blocks of steps of at most STEP_TOKENS tokens, one step
+    at least; live[t] sequences, longest first, are longer than t."""
+    n = np.diff(first)
+    order = np.argsort(-n, kind="stable")
+    n = n[order]
+    live = len(n) - np.searchsorted(n[::-1], np.arange(int(n[0]) if len(n) else 0), "right")
+    upto, t = np.cumsum(live), 0
+    while t < len(live):
+        to = max(t + 1, int(np.searchsorted(upto, (upto[t - 1] if t else 0) + STEP_TOKENS, "right")))
+        yield order, live, t, to
+        t = to
 
-    At most ``sample * windows * width`` symbols reach the driver. They only
-    break the symmetry of the states; the rounds over all texts follow.
-    """
 
-    def run(batches):
-        for batch in batches:
-            for part in batch_slices(batch, "text"):
-                data, off = text_buffer(part.column("text"))
-                w = Words(data, off, lower=True)
-                sym, first = _with_end(symbols(w.hashes()), w.first)
-                out = []
-                for a, b in zip(first[:-1], first[1:]):
-                    n = max(1, -(-(b - a) // width))
-                    pick = np.unique(np.linspace(0, n - 1, min(n, windows)).astype(int))
-                    out.append([sym[a + i * width : min(b, a + (i + 1) * width)].astype(np.int32).tobytes() for i in pick])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary()))], ["seen"])
-
-    rows = docs.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    seen = [[np.frombuffer(x, np.int32).astype(np.int64) for x in r.seen] for r in rows.mapInArrow(run, "seen array<binary>").collect()]
+def _block(first: np.ndarray, order: np.ndarray, live: np.ndarray, t: int, to: int):
+    """Places of a block's tokens, step after step, the limits of the steps, the first step."""
+    live = live[t:to]
+    off = np.concatenate(([0], np.cumsum(live)))
+    rank = np.arange(off[-1]) - np.repeat(off[:-1], live)
+    return first[:-1][order[rank]] + np.repeat(np.arange(t, to), live), off, t
+
+
+def _blocks_of_steps(first: np.ndarray):
+    for cut in _limits(first):
+        yield _block(first, *cut)
+
+
+def _start() -> Hmm:
+    """First parameters: seeded noise on every symbol's emission, the same for every corpus."""
     rng = np.random.Generator(np.random.PCG64(3))
-    runs = [x for s in seen for x in s]
-    if not runs:
-        return Hmm.of(np.ones(STATES), np.eye(STATES), np.ones((SYMBOLS + 1, STATES)))
-    sym, first = np.concatenate(runs), np.concatenate(([0], np.cumsum([len(x) for x in runs])))
-    share = np.concatenate([np.repeat(rng.dirichlet(np.full(STATES, 0.3))[None], sum(map(len, s)), 0) for s in seen])
-    emit = np.column_stack([np.bincount(sym, share[:, j], SYMBOLS + 1) for j in range(STATES)])
-    model = Hmm.of(np.ones(STATES), np.eye(STATES) * 9 + 1.0 / STATES, emit)
-    for _ in range(25):
-        model = Hmm.of(*model.counts(sym, first))
-    return model
-
-
-def _round(docs: DataFrame, model: Hmm, segment: int) -> tuple[Hmm, int, int]:
-    """One Baum-Welch round over all training texts: expected counts of each
-    input split, added up in two levels of sums. Also counts tokens and texts."""
-    held, k = docs.sparkSession.sparkContext.broadcast(model), STATES
-    blocks = 16
+    return Hmm.of(np.ones(STATES), np.eye(STATES) * 9 + 1.0 / STATES, np.exp(rng.normal(0, 1, (SYMBOLS + 1, STATES))))
+
+
+def _round(texts: DataFrame, model: Hmm) -> tuple[Hmm, int, int]:
+    """One Baum-Welch round over training texts: every split's expected counts as rows
+    (a symbol, a state's moves, the begins, the numbers of tokens and texts), added
+    up by row. Sums are taken where rows arrive, so a task holds its rows' sums
+    however many splits there are."""
+    held, k = texts.sparkSession.sparkContext.broadcast(model), STATES
 
     def expect(batches):
-        begin, moves, emit, tokens, texts = np.zeros(k), np.zeros((k, k)), np.zeros((SYMBOLS + 1, k)), 0, 0
+        flat = np.zeros((SYMBOLS + 1 + k + 2, k))  # symbols, moves, begins, numbers
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            for part in batch_slices(batch, "text", 4 << 20):
                 data, off = text_buffer(part.column("text"))
                 w = Words(data, off, lower=True)
                 sym, first = _with_end(symbols(w.hashes()), w.first)
-                b, m, e = held.value.counts(sym, _segments(first, segment))
-                begin, moves, emit = begin + b, moves + m, emit + e
-                tokens, texts = tokens + len(sym), texts + part.num_rows
-        if texts:
-            flat = np.concatenate([[tokens, texts], begin, moves.ravel(), emit.ravel()])
-            cut = np.array_split(flat, blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["block", "part"])
-
-    def add(key, table):
-        total = sum(np.frombuffer(x.as_py()) for x in table.column("part"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "block int, part binary"
-    parts = docs.where(~held_out(F.col("doc_id"))).mapInArrow(expect, kind).withColumn("some", F.spark_partition_id() % 64)
-    parts = parts.groupBy("block", "some").applyInArrow(lambda key, t: add(key, t.select(["block", "part"])), kind)
-    rows = {r.block: np.frombuffer(r.part) for r in parts.groupBy("block").applyInArrow(add, kind).collect()}
-    if not rows:
+                begin, moves, emit = held.value.counts(sym, first)
+                flat[: SYMBOLS + 1] += emit
+                flat[SYMBOLS + 1 : -2] += moves
+                flat[-2] += begin
+                flat[-1, :2] += len(sym), part.num_rows
+        row = np.flatnonzero(flat.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), *(pa.array(flat[row, j]) for j in range(k))], ["row", *names])
+
+    names = [f"s{j}" for j in range(k)]
+    rows = texts.mapInArrow(expect, "row int, " + ", ".join(f"{c} double" for c in names)).groupBy("row").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    flat = np.zeros((SYMBOLS + 1 + k + 2, k))
+    flat[rows.column("row").to_numpy()] = np.column_stack([rows.column(c).to_numpy() for c in names])
+    if not flat[-1, 1]:
         return model, 0, 0
-    flat = np.concatenate([rows[b] for b in range(blocks)])
-    begin, moves, emit = np.split(flat[2:], [k, k + k * k])
-    return Hmm.of(begin, moves.reshape(k, k), emit.reshape(-1, k)), int(flat[0]), int(flat[1])
+    return Hmm.of(flat[-2], flat[SYMBOLS + 1 : -2], flat[: SYMBOLS + 1]), round(flat[-1, 0]), round(flat[-1, 1])
+
+
+def train(docs: DataFrame, share: int = 16, first_rounds: int = 8, rounds: int = 2) -> tuple[Hmm, int, int]:
+    """(model, training tokens, training texts): ``first_rounds`` Baum-Welch rounds over
+    every ``share``-th training text (by the id's hash), so they grow with the corpus,
+    then ``rounds`` over all of them. Every text counts whole, from its begin to its end."""
+    texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(share)) == 0)
+    model, tokens, n = _start(), 0, 0
+    for _ in range(first_rounds):
+        model = _round(some.select("text"), model)[0]
+    for _ in range(rounds):
+        model, tokens, n = _round(texts.select("text"), model)
+    return model, tokens, n
 
 
-def hmm_scores(docs: DataFrame, rounds: int = 2, segment: int = 256, sample: int = 300, part_bytes: int = 4 << 20) -> DataFrame:
+def hmm_scores(docs: DataFrame, rounds: int = 2, part_bytes: int = 4 << 20) -> DataFrame:
     """Log10 probability of every whole text under a hidden Markov model.
 
     Tokens are lower-cased words and one end a text. A hidden state emits one of
     32,768 symbols (a hash of the word) or the end, and the symbol emits the
     word in proportion to its training count plus one, with one share for words
     never seen: P(text) sums over all state paths, exactly, by the scaled
-    forward recursion. States are trained by ``rounds`` Baum-Welch rounds over
-    all training texts (long ones in segments), word counts are exact over all
-    of them: parts of the documents ask hash buckets for the counts of their
-    different words, so no frequent word is a hot key. Words count as equal if
-    their 64-bit hashes are.
+    forward recursion. States are trained by `train`, whose last ``rounds`` rounds
+    count all training texts, word counts are exact over all of them: parts of the
+    documents ask hash buckets for the counts of their different words, so no
+    frequent word is a hot key. Words count as equal if their 64-bit hashes are.
 
     Rows whose id's crc32 is 2 modulo 7 are scored but not learned from.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the
@@ -193,12 +206,14 @@ def hmm_scores(docs: DataFrame, rounds: int = 2, segment: int = 256, sample: int
     count as often as they occur. Empty table: no rows. Other columns are left
     out.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    model, n_train, n_texts = _start(texts, sample, 8, 64), 0, 0
-    for _ in range(rounds):
-        model, n_train, n_texts = _round(texts, model, segment)
+    model, n_train, n_texts = train(docs, rounds=rounds)
+    return scores_by(docs, model, n_train, n_texts, part_bytes)
+
+
+def scores_by(docs: DataFrame, model: Hmm, n_train: int, n_texts: int, part_bytes: int = 4 << 20) -> DataFrame:
+    """`hmm_scores` with a trained model; ``n_texts`` training texts, ``n_train`` training tokens."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows, parts = in_parts(docs, part_bytes)
+    rows, _, buckets = in_parts(docs, part_bytes)
     blobs = (pa.int32(), pa.int32(), pa.binary())
 
     def table_of(out, names):
@@ -217,7 +232,7 @@ def hmm_scores(docs: DataFrame, rounds: int = 2, segment: int = 256, sample: int
         w, _, keys, of = words_of(table)
         train = ~_is_held_out(table.column("doc_id").to_pylist())
         counts = np.bincount(of, train[w.doc].astype(float), len(keys)).astype(np.uint32)
-        return table_of([(b, key[0].as_py(), pack(keys[lo:hi], counts[lo:hi])) for b, lo, hi in _by_symbol(keys, parts)], ["bucket", "pid", "ask"])
+        return table_of([(b, key[0].as_py(), pack(keys[lo:hi], counts[lo:hi])) for b, lo, hi in _by_symbol(keys, buckets)], ["bucket", "pid", "ask"])
 
     def added(table: pa.Table):
         got = [unpack(x, U64, np.uint32) for x in table.column("ask").to_pylist()]
@@ -243,7 +258,7 @@ def hmm_scores(docs: DataFrame, rounds: int = 2, segment: int = 256, sample: int
         w, h, keys, of = words_of(table)
         by = dict(zip(told.column("bucket").to_pylist(), told.column("told").to_pylist()))
         count, room = np.zeros(len(keys)), np.ones(len(keys))
-        for b, lo, hi in _by_symbol(keys, parts):
+        for b, lo, hi in _by_symbol(keys, buckets):
             count[lo:hi], room[lo:hi] = unpack(by[b], U64, U64)
         n, log = np.diff(w.first), np.zeros((3, len(w) + 1))
         for x, v in zip(log, (np.log10(count + 1), np.log10((count + 1) / room), count > 0)):
@@ -266,9 +281,9 @@ def hmm_scores(docs: DataFrame, rounds: int = 2, segment: int = 256, sample: int
     )
 
 
-def _by_symbol(keys: np.ndarray, parts: int):
+def _by_symbol(keys: np.ndarray, buckets: int):
     """Runs of sorted keys by bucket; a symbol's words share one bucket."""
-    return bucket_runs_of(symbols(keys) * min(parts, SYMBOLS) // SYMBOLS)
+    return bucket_runs_of(symbols(keys) * min(buckets, SYMBOLS) // SYMBOLS)
 
 
 def bucket_runs_of(bucket: np.ndarray):

@@ -45,7 +45,7 @@ class _Part:
         at = whole_runs(self.words.first, self.width)
         place = at - self.words.first[self.words.doc[at]]
         self.at = at[cover[place % period]]
-        key = window_hash(self.h, self.width)[self.at]
+        key = window_hash(self.h, self.width, at=self.at)
         doc = self.ids[self.words.doc[self.at]]
         # each different anchor once, with whether several documents here hold it
         order = np.argsort(key, kind="stable")
@@ -67,8 +67,8 @@ class _Part:
         np.cumsum(mark, out=mark)
         at = whole_runs(self.words.first, self.window)
         self.win = at[mark[at + self.period] > mark[at]]
-        a = window_hash(self.h, self.window)[self.win]
-        b = window_hash(self.words.hashes(2), self.window, 2)[self.win]
+        a = window_hash(self.h, self.window, at=self.win)
+        b = window_hash(self.words.hashes(2), self.window, 2, self.win) if len(self.win) else a
         doc = self.ids[self.words.doc[self.win]]
         order = np.lexsort((doc, b, a))
         a, b, d = a[order], b[order], doc[order]
@@ -140,11 +140,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7, part_byte
     comparison and stay separate rows. Empty table: no rows. Other columns are
     left out.
     """
-    rows, parts = in_parts(docs, part_bytes)
+    rows, _, buckets = in_parts(docs, part_bytes)
 
     def anchors(key, table):
         p = _Part(table, window, period)
-        out = [(b, key[0].as_py(), pack(low48(p.keys[lo:hi]).view("V6").ravel(), p.many[lo:hi].view(np.uint8))) for b, lo, hi in bucket_runs(p.keys, parts)]
+        out = [(b, key[0].as_py(), pack(low48(p.keys[lo:hi]).view("V6").ravel(), p.many[lo:hi].view(np.uint8))) for b, lo, hi in bucket_runs(p.keys, buckets)]
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "pid", "ask"])
 
@@ -165,14 +165,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7, part_byte
     def extended(table: pa.Table, told: pa.Table) -> tuple[_Part, list]:
         p = _Part(table, window, period)
         said = list(zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "bits"))))
-        p.candidates(_bits([x[1:] for x in said if x[0] == 0], list(bucket_runs(p.keys, parts)), len(p.keys)))
+        p.candidates(_bits([x[1:] for x in said if x[0] == 0], list(bucket_runs(p.keys, buckets)), len(p.keys)))
         return p, [x[1:] for x in said if x[0] == 1]
 
     def windows(key, table, told):
         out = []
         if table.num_rows and told.num_rows:
             p, _ = extended(table, told)
-            for b, lo, hi in bucket_runs(p.a, parts):
+            for b, lo, hi in bucket_runs(p.a, buckets):
                 out.append((b, key[0].as_py(), pack(p.a[lo:hi], p.b[lo:hi], p.least[lo:hi])))
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "pid", "ask"])
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7, part_byte
         span = pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64())]))
         if told.num_rows and table.num_rows:
             p, said = extended(table, told)
-            gone = p.removed(_bits(said, list(bucket_runs(p.a, parts)), len(p.a)))
+            gone = p.removed(_bits(said, list(bucket_runs(p.a, buckets)), len(p.a)))
             table, first = p.table, p.words.first
         else:
             gone = first = None

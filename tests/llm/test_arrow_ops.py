@@ -196,20 +196,75 @@ def test_hmm_counts_and_forward(spark):
     assert hmm.hmm_scores(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_forward_is_exact():
-    rng = np.random.default_rng(0)
+def random_model(seed=0):
+    rng = np.random.default_rng(seed)
     k = hmm.STATES
-    m = hmm.Hmm.of(rng.random(k), rng.random((k, k)), rng.random((hmm.SYMBOLS + 1, k)))
-    sym, first = rng.integers(0, 50, 9), np.array([0, 4, 4, 9])
+    return hmm.Hmm.of(rng.random(k), rng.random((k, k)), rng.random((hmm.SYMBOLS + 1, k)))
+
+
+def likelihood(m, sym):
+    x = m.begin * m.emit[sym[0]]
+    for s in sym[1:]:
+        x = (x @ m.move) * m.emit[s]
+    return x.sum()
+
+
+@pytest.mark.parametrize("tokens", [1, 5, 1 << 19])
+def test_forward_is_exact(monkeypatch, tokens):
+    monkeypatch.setattr(hmm, "STEP_TOKENS", tokens)
+    rng, m = np.random.default_rng(0), random_model()
+    sym, first = rng.integers(0, 50, 19), np.array([0, 4, 4, 9, 10, 19])
     scale = m.forward(sym, first)
-    for a, b in ((0, 4), (4, 9)):
-        x = m.begin * m.emit[sym[a]]
-        for s in sym[a + 1 : b]:
-            x = (x @ m.move) * m.emit[s]
-        assert abs(np.log(scale[a:b]).sum() - np.log(x.sum())) < 1e-9
+    for a, b in zip(first[:-1], first[1:]):
+        if b > a:
+            assert abs(np.log(scale[a:b]).sum() - np.log(likelihood(m, sym[a:b]))) < 1e-9
     begin, moves, emit = m.counts(sym, first)
-    assert abs(begin.sum() - 2) < 1e-9 and abs(moves.sum() - 7) < 1e-9 and abs(emit.sum() - 9) < 1e-9
+    assert abs(begin.sum() - 4) < 1e-9 and abs(moves.sum() - 15) < 1e-9 and abs(emit.sum() - 19) < 1e-9
     assert np.allclose(m.emit.sum(0), 1) and np.allclose(m.move.sum(1), 1)
+    # expected counts are derivatives of the log likelihood: one of each kind by difference
+    for name, place, got in (("begin", 2, begin[2]), ("move", (1, 3), moves[1, 3]), ("emit", (sym[5], 4), emit[sym[5], 4])):
+        logs = []
+        for f in (1 - 1e-5, 1 + 1e-5):
+            x = {n: getattr(m, n).copy() for n in ("begin", "move", "emit")}
+            x[name][place] *= f
+            logs.append(sum(np.log(likelihood(hmm.Hmm(**x), sym[a:b])) for a, b in zip(first[:-1], first[1:]) if b > a))
+        assert abs((logs[1] - logs[0]) / 2e-5 - got) < 1e-5
+
+
+def test_hmm_scores_by_brute_force(spark):
+    rows, m = corpus(5, 30), random_model(3)
+    out = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(x for i, t in rows if i not in out for x in wordlist(t, True))
+
+    def symbol(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(hmm.symbols(Words(data, np.array([0, len(data)])).hashes())[0])
+
+    room = Counter()
+    for x, c in counts.items():
+        room[symbol(x)] += c + 1
+    got = {r.doc_id: r for r in hmm.scores_by(frame(spark, rows), m, sum(counts.values()), 5, part_bytes=300).collect()}
+    for i, t in rows:
+        words = wordlist(t, True)
+        sym = [*map(symbol, words), hmm.SYMBOLS]
+        want = log10(likelihood(m, sym)) + sum(log10((counts[x] + 1) / (room[s] + 1)) for x, s in zip(words, sym)) if len(words) < 60 else None
+        assert want is None or abs(got[i].score - want) < 1e-6 * abs(want), (i, t)
+
+
+def test_training_raises_the_likelihood(spark):
+    """More rounds over all texts give a higher likelihood of them, beginning and all."""
+    docs = frame(spark, corpus(5, 60))
+    learned = []
+    for rounds in (1, 3, 6):
+        m, _, _ = hmm.train(docs, rounds=rounds)
+        texts = [t for i, t in corpus(5, 60) if zlib.crc32(str(i).encode()) % 7 != 2]
+        total = 0
+        for t in texts:
+            data = np.frombuffer(b" ".join(wordlist(t, True)), np.uint8)
+            w = Words(data, np.array([0, len(data)]))
+            total += np.log(m.forward(*hmm._with_end(hmm.symbols(w.hashes()), w.first))).sum()
+        learned.append(total)
+    assert learned[0] < learned[1] < learned[2]
 
 
 def test_near_duplicates(spark):
