@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch_slices, documents, text_buffer
@@ -12,18 +13,12 @@ from .common import batch_slices, documents, text_buffer
 CHUNK, STEP, TAPS, HOP, FILTERS = 512, 480, 6, 2, 16
 
 
-def chunks_of(raw: np.ndarray, most: int | None = None) -> np.ndarray:
-    """(chunks, CHUNK) bytes that cover the text with overlap, zeros at the end.
-
-    ``most`` takes at most so many of them, spread evenly over the text.
-    """
+def chunks_of(raw: np.ndarray) -> np.ndarray:
+    """(chunks, CHUNK) bytes that cover the text with overlap, zeros at the end."""
     n = max(1, -(-max(len(raw) - (CHUNK - STEP), 1) // STEP))
     pad = np.zeros((n - 1) * STEP + CHUNK, np.uint8)
     pad[: len(raw)] = raw
-    at = np.arange(n) * STEP
-    if most and n > most:
-        at = at[np.linspace(0, n - 1, most).astype(int)]
-    return np.lib.stride_tricks.sliding_window_view(pad, CHUNK)[at]
+    return np.lib.stride_tricks.sliding_window_view(pad, CHUNK)[np.arange(n) * STEP]
 
 
 class ByteCnn:
@@ -100,25 +95,27 @@ class ByteCnn:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_chunks: int = 8) -> ByteCnn | None:
-    """Train on at most ``sample`` labelled documents (those with the least hash of
-    their id), each shown by at most ``most_chunks`` chunks spread over its whole
-    text: the driver gets ``sample * most_chunks * 512`` bytes at most. None if
-    no document is labelled."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    there = docs.select("doc_id").distinct()
-    picked = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: int = 32 << 20) -> ByteCnn | None:
+    """Train on at most ``sample`` labelled documents of together at most
+    ``sample_bytes`` bytes, taken in the order of their id's hash and shown whole, so
+    the driver gets little more than ``sample_bytes``; texts of over a sixteenth of
+    that are not in the sample. Of several labels of an id the greatest counts, of
+    several texts the least. None if no document is labelled."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    picked = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def cut(batches):
         for batch in batches:
             data, off = text_buffer(batch.column("text"))
-            got = [chunks_of(data[a:b], most_chunks).tobytes() for a, b in zip(off[:-1], off[1:])]
+            got = [chunks_of(data[a:b]).tobytes() for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(got, pa.binary())], ["doc_id", "quality", "chunks"])
 
     # at most `sample` rows of two numbers: a proven bound for the broadcast
-    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    shown = shown.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(cut, "doc_id long, quality int, chunks binary")
-    rows = sorted(shown.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    shown = texts.where(F.octet_length("text") <= sample_bytes // 16).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `sample` rows
+    shown = shown.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "text", "quality")
+    rows = sorted(shown.mapInArrow(cut, "doc_id long, quality int, chunks binary").collect(), key=lambda r: r.doc_id)
     if not rows:
         return None
     x = [np.frombuffer(r.chunks, np.uint8).reshape(-1, CHUNK) for r in rows]
