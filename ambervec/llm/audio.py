@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from functools import lru_cache
 
@@ -141,23 +142,39 @@ def store(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 TENSOR_SHAPE = (CLIP, MELS)
-AUDIO = (
-    "payload_bytes long, payload binary, rate int, "
-    "tensors array<struct<start_s:double,end_s:double,log_mel:array<float>>>, segments array<struct<start_s:double,end_s:double>>"
-)
+TENSORS = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.fixed_shape_tensor(pa.float32(), list(TENSOR_SHAPE)))])
+AUDIO = "payload_bytes long, payload binary, rate int, n_tensors int, tensors binary, segments array<struct<start_s:double,end_s:double>>"
+
+
+def write_tensors(clips: np.ndarray, start_s: np.ndarray, end_s: np.ndarray) -> bytes:
+    """An Arrow IPC stream of one batch: time spans and fixed-shape tensors (n, 64, 16)."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(clips, np.float32).ravel()), CLIP * MELS)
+    batch = pa.record_batch([pa.array(start_s, pa.float64()), pa.array(end_s, pa.float64()), pa.ExtensionArray.from_storage(TENSORS.field("log_mel").type, flat)], schema=TENSORS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSORS) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tensors (n, 64, 16), start_s, end_s) of a stored stream."""
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    tensors = table.column("log_mel").chunk(0).to_numpy_ndarray()
+    return tensors, table.column("start_s").to_numpy(), table.column("end_s").to_numpy()
 
 
 def audio_features(media: DataFrame, column: str = "media", payload: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Features read from stored 8-bit WAV files.
 
-    Adds the samples read back (``payload``), log-mel tensors of the fixed shape
-    (64 frames, 16 bands), flattened, with the time span of each (the last one
-    filled with its floor value), and the spans that hysteresis on the frame
-    energies finds. Resampling is polyphase, frames overlap by half. Each
-    file is computed on its own, so equal files give equal values wherever they
-    lie. Null media give null features; other broken media fail with a
-    ValueError. Columns of the input (or those in ``keep``) are kept unless they
-    bear a name of the output. Empty table: no rows.
+    Adds the samples read back (``payload``), ``tensors``: log-mel tensors of the
+    fixed shape (64 frames, 16 bands) with the time span of each (the last one
+    filled with its floor value), as an Arrow IPC stream whose log_mel column has
+    Arrow's fixed-shape tensor type (`read_tensors` opens it), their number, and the
+    spans that hysteresis on the frame energies finds. Resampling is polyphase,
+    frames overlap by half. Each file is computed on its own, so equal files give
+    equal values wherever they lie. Null media give null features; other broken
+    media fail with a ValueError. Columns of the input (or those in ``keep``) are
+    kept unless they bear a name of the output. Empty table: no rows.
     """
     from pyspark.sql.types import StructType
 
@@ -177,17 +194,22 @@ def audio_features(media: DataFrame, column: str = "media", payload: bool = True
         n = -(-len(mel) // CLIP)
         full = np.full((n * CLIP, MELS), np.float32(np.log(1e-6)))
         full[: len(mel)] = mel
-        clips = full.reshape(n, -1)
-        total = len(y) / RATE_OUT
-        tensors = [{"start_s": k * CLIP * second, "end_s": min(total, (k + 1) * CLIP * second), "log_mel": c} for k, c in enumerate(clips)]
+        total, at = len(y) / RATE_OUT, np.arange(n + 1) * CLIP * second
+        tensors = write_tensors(full, at[:-1], np.minimum(total, at[1:]))
         spans = [{"start_s": a * second, "end_s": min(total, ((b - 1) * HOP + FRAME) / RATE_OUT)} for a, b in segments(loud)]
-        return {"payload_bytes": len(got), "payload": got if payload else None, "rate": rate, "tensors": tensors, "segments": spans}
+        return {"payload_bytes": len(got), "payload": got if payload else None, "rate": rate, "n_tensors": n, "tensors": tensors, "segments": spans}
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = [one(m) for m in part.column(column).to_pylist()]
+            at = 0
+            while at < batch.num_rows:
+                rows, size = [], 0
+                while at < batch.num_rows and len(rows) < 256 and size < 8 << 20:
+                    raw = batch.column(column)[at].as_py()
+                    rows.append(one(raw))
+                    size += len(raw or b"")
+                    at += 1
+                part = batch.slice(at - len(rows), len(rows))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), *(pa.array([r[f.name] for r in rows], f.type) for f in arrow)], [*names, *new.names]
                 )
@@ -202,22 +224,32 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def tensor_array(flat: pa.Array) -> pa.ExtensionArray:
-    """The log_mel values of collected rows as an Arrow fixed-shape tensor array."""
-    kind = pa.fixed_shape_tensor(pa.float32(), list(TENSOR_SHAPE))
-    return pa.ExtensionArray.from_storage(kind, flat.cast(pa.list_(pa.float32(), CLIP * MELS)))
+def digests(features: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns in ``keep`` and ``feature``: number and seconds of the segments,
+    number of tensors, and a digest of every log-mel value of every stored tensor in
+    hundredths. Null features give a null digest."""
+    schema = features.select(*keep).schema.add("feature", "string")
+
+    def one(spans: list | None, stored: bytes | None) -> str | None:
+        if stored is None:
+            return None
+        mel, _, _ = read_tensors(stored)
+        loud = sum(x["end_s"] - x["start_s"] for x in spans)
+        return f"{len(spans)};{loud:.3f};{len(mel)};{hashlib.sha256(np.round(mel * 100).astype('<i4').tobytes()).hexdigest()}"
+
+    def run(batches):
+        for batch in batches:
+            got = [one(s.as_py(), t.as_py()) for s, t in zip(batch.column("segments"), batch.column("tensors"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.string())], [*keep, "feature"])
+
+    return features.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = store(documents(spark, sf_dir))
-    got = audio_features(media)
+    got = audio_features(store(documents(spark, sf_dir)))
     tail = F.expr("substring(payload, greatest(1, length(payload) - 63), 64)")
-    # every value of every tensor in hundredths; files are computed alone, so equal texts give equal digits
-    text = F.concat_ws(
-        ";", F.size("segments"), F.expr("round(aggregate(segments, 0D, (s, x) -> s + x.end_s - x.start_s), 3)"), F.size("tensors"),
-        F.sha2(F.expr("cast(concat_ws(';', transform(tensors, t -> cast(transform(t.log_mel, x -> cast(round(x * 100) AS int)) AS string))) AS binary)"), 256),
-    )
-    return got.select(
+    got = got.select(
         "doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), text.alias("feature"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "segments", "tensors",
     )
+    return digests(got, [c for c in got.columns if c not in ("segments", "tensors")])
