@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, drop_staged, staged
 
 THRESHOLD, LEAST_CHARS = 2, 24  # two edits in 24 characters: a share of 1/12
 EXACT_CHARS = 4
-CROWD, BLOCK = 32, 128  # members of a key whose pairs are compared; lines of a block
+# open members of a key whose pairs are compared as rows, those that are compared in
+# blocks, lines of a block
+CROWD, LARGE, BLOCK = 32, 1024, 128
 BROADCAST_KEYS = 1 << 20  # 8 MB of keys
 _LAST = (1 << 63) - 1
 
@@ -32,11 +34,14 @@ def segment_keys(line: Column, threshold: int) -> list[Column]:
     return out
 
 
+_I, _D = 1 << 16, 1 << 8
+
+
 def probe_keys(line: Column, threshold: int) -> Column:
     """Keys under which a line looks for lines of its own or a smaller length within
-    ``threshold`` edits, as structs (key, i, d, sg): for each lesser length by d and
+    ``threshold`` edits, as structs (key, spec): for each lesser length by d and
     segment i, the substrings whose shift sg the edits left (i - 1) and right of the
-    segment allow."""
+    segment allow. spec: i, d and sg + threshold in bytes."""
     n, parts = F.char_length(line), threshold + 1
     out = []
     for less in range(threshold + 1):
@@ -44,7 +49,7 @@ def probe_keys(line: Column, threshold: int) -> Column:
             start, size = _segment(n - less, i, parts)
             for shift in range(max(-(i - 1), less - (parts - i)), min(i - 1, less + parts - i) + 1):
                 key = F.xxhash64(F.lit(i), n - less, F.substring(line, start + shift, size))
-                out.append(F.struct(key.alias("key"), F.lit(i).alias("i"), F.lit(less).alias("d"), F.lit(shift).alias("sg")))
+                out.append(F.struct(key.alias("key"), F.lit(i * _I + less * _D + shift + threshold).alias("spec")))
     return F.array(*out)
 
 
@@ -153,54 +158,58 @@ def _later(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
 
 
-def _in_blocks(entries: DataFrame, gone: DataFrame, lines: DataFrame, threshold: int, block: int) -> DataFrame:
-    """(h) of lines near an earlier member of their key: blocks of lines meet as arrays."""
-    size = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = entries.select("key", "h", "first", "own").join(size, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    rows = rows.join(lines.select("h", "line"), "h")
-    line = F.collect_list(F.struct("first", "h", "own", "line"))
-    all_of = rows.groupBy("key", "block").agg(line.alias("ys"))
-    asked = rows.join(gone, "h", "left_anti").groupBy("key", "block").agg(F.first("blocks").alias("blocks"), line.alias("xs"))
-    asked = asked.select("key", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    near = "x -> exists(ys, y -> y.first < x.first AND (x.own OR y.own) AND levenshtein(x.line, y.line, {0}) >= 0 AND {1})"
-    hit = F.expr(f"filter(xs, {near.format(threshold, within_sql('x.line', 'y.line', threshold))})")
-    return asked.join(all_of, ["key", "block"]).select(F.explode(hit).alias("x")).select(F.col("x.h").alias("h")).distinct()
+def _in_blocks(entries: DataFrame, lines: DataFrame, threshold: int, block: int) -> DataFrame:
+    """(h) of open lines near an earlier member of their key (columns members, opens:
+    numbers of the key): blocks of open lines meet blocks of all lines as arrays."""
+    near = f"x -> exists(ys, y -> y.first < x.first AND (x.own OR y.own) AND levenshtein(x.line, y.line, {threshold}) >= 0 AND {within_sql('x.line', 'y.line', threshold)})"
+    rows = entries.join(lines.select("h", "line"), "h")
+    dealt = F.xxhash64("h", F.lit("block"))
+    line, blocks = F.collect_list(F.struct("first", "h", "own", "line")), F.ceil(F.col("members") / block)
+    ys = rows.groupBy("key", F.pmod(dealt, blocks).alias("block")).agg(line.alias("ys"))
+    xs = rows.where("open").groupBy("key", F.pmod(dealt, F.ceil(F.col("opens") / block)).alias("b")).agg(F.first(blocks).alias("blocks"), line.alias("xs"))
+    xs = xs.select("key", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return xs.join(ys, ["key", "block"]).select(F.explode(F.expr(f"filter(xs, {near})")).alias("x")).select(F.col("x.h").alias("h")).distinct()
 
 
-def _in_crowds(entries: DataFrame, gone: DataFrame, lines: DataFrame, threshold: int, crowd: int, block: int) -> DataFrame:
+def _in_crowds(entries: DataFrame, gone: DataFrame, lines: DataFrame, threshold: int, crowd: int, large: int, block: int) -> DataFrame:
     """``gone`` and the lines near an earlier line with which they share a crowded key.
 
-    In every round the earliest owner of a key meets all its members. If at most
-    ``crowd`` of them are not gone, these meet all earlier members; else all go on to
-    the keys of smaller holes, where lines stay together only if they agree in more
-    of their text. Holes of one character end this: what is still crowded then
-    differs in two places only and meets in blocks.
+    In every round the earliest owner of a key meets all its members. Members that are
+    gone by now only serve as earlier lines; the others are open. At most ``crowd``
+    open ones meet all earlier members as rows, at most ``large`` in blocks, so the
+    work grows with the members. Where more are open, all go on to the keys of
+    smaller holes, where lines stay together only if they agree in more of their
+    text. Holes of one character end this: what is still crowded then differs in
+    two places only and meets in blocks.
     """
     while True:
         lead = entries.where("own").groupBy("key").agg(F.min(F.struct("first", "h")).alias("lead"))
         star = entries.join(lead, "key").where(F.col("h") != F.col("lead.h")).select(F.col("h").alias("a"), F.col("lead.h").alias("b")).distinct()
         gone = staged(gone.unionByName(_later(star, lines, threshold)).distinct(), "gone")
-        alive = entries.join(gone, "h", "left_anti")
-        left = staged(alive.groupBy("key").agg(F.count(F.lit(1)).alias("left")), "left")
-        few = alive.join(left.where(F.col("left") <= crowd).select("key"), "key").select("key", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("own").alias("oa"))
-        pairs = few.join(entries.select("key", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("own").alias("ob")), "key")
+        marked = entries.join(gone.withColumn("open", F.lit(False)), "h", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        size = marked.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if("open").alias("opens")).where("opens > 0")
+        holes = F.greatest(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2")) if threshold == 2 else F.lit(0)
+        how = F.when(F.col("opens") <= crowd, "rows").when((F.col("opens") <= large) | (holes <= 1), "blocks").otherwise("finer")
+        marked = staged(marked.join(size, "key").withColumn("how", how), "marked")
+        drop_staged(entries.sparkSession, entries)
+        few = marked.where("how = 'rows'")
+        pairs = few.where("open").select("key", F.col("h").alias("a"), F.col("first").alias("fa"), F.col("own").alias("oa"))
+        pairs = pairs.join(few.select("key", F.col("h").alias("b"), F.col("first").alias("fb"), F.col("own").alias("ob")), "key")
         pairs = pairs.where((F.col("oa") | F.col("ob")) & (F.col("fb") < F.col("fa"))).select("a", "b").distinct()
-        gone = staged(gone.unionByName(_later(pairs, lines, threshold)).distinct(), "gone")
-        rest = entries.join(left.where(F.col("left") > crowd).select("key"), "key", "left_semi")
-        open_holes = F.lit(threshold == 2) & (F.greatest(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2")) > 1)
-        last, rest = staged(rest.where(~open_holes), "last"), staged(rest.where(open_holes), "rest")
-        if not last.isEmpty():
-            gone = staged(gone.unionByName(_in_blocks(last, gone, lines, threshold, block)).distinct(), "gone")
+        more = _later(pairs, lines, threshold).unionByName(_in_blocks(marked.where("how = 'blocks'"), lines, threshold, block))
+        gone = staged(gone.unionByName(more).distinct(), "gone")
+        rest = marked.where("how = 'finer'")
         if rest.isEmpty():
             return gone
         finer = staged(_finer(rest, lines), "entries")
-        # a key goes on if it has an owner and another member, one of them not gone
+        # a key goes on if it has an owner and another member, and one of them is open
         met = finer.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("owned")).where("owned and lo < hi").select("key")
         met = met.join(finer.join(gone, "h", "left_anti").select("key").distinct(), "key", "left_semi")
         entries = staged(finer.join(met, "key", "left_semi"), "entries")
+        drop_staged(entries.sparkSession, finer, marked)
 
 
-def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None, exact_chars: int | None = None, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int | None = None, exact_chars: int | None = None, crowd: int = CROWD, large: int = LARGE, block: int = BLOCK) -> DataFrame:
     """Remove lines that equal, or are within ``threshold`` edits of, a line that
     occurs earlier (by doc_id, then line number).
 
@@ -214,7 +223,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     thresholded edit distance or verified by `within`. Equal lines meet once, as
     their first occurrence, so a line of a third of all documents is no hot key.
     A segment of more than ``crowd`` different lines of one length is not expanded
-    into its pairs: see `_in_crowds`. Lines count as equal if lengths and 64-bit
+    into its pairs: see `_in_crowds` (there ``large`` and ``block``). Lines count as equal if lengths and 64-bit
     hashes are.
 
     Adds n_lines, n_removed and kept_text and keeps all other columns as they are
@@ -245,31 +254,26 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
         cut = text.join(lists.hint("shuffle_hash"), ["__did", "__th"]).select("own", lines.alias("lines"))
         return cut.select("lines", F.explode("own").alias("x")).select(F.col("x.h").alias("h"), F.get("lines", F.col("x.no")).alias("line"))
 
-    index = long.select("h", F.explode(F.array(*names)).alias("key"))
-    probes = lines_of(long).select("h", F.explode(probe_keys(F.col("line"), threshold)).alias("x")).select("h", "x.*")
+    # a key is found by its few lines, or as one crowd
+    index = long.select(F.col("h").alias("b"), F.explode(F.array(*names)).alias("key"))
     crowds = staged(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowds")
     crowded = crowds.count()
-    if 0 < crowded <= BROADCAST_KEYS:
-        crowds = F.broadcast(crowds)
-    some = index.join(crowds, "key", "left_anti") if crowded else index
-    pairs = probes.select(F.col("h").alias("a"), "key").join(some.withColumnRenamed("h", "b"), "key").where("a <> b")
-    pairs = staged(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("h"))
-    if crowded:
-        own = long.select("h", F.posexplode(F.array(*names)).alias("i", "key")).join(crowds, "key")
-        own = own.select("h", "key", F.lit(True).alias("own"), (F.col("i") + 1).alias("i"), F.lit(0).alias("d"), F.lit(0).alias("sg"))
-        # an owner looks for lines of its length by its own segments
-        asks = probes.where("d > 0 or sg <> 0").join(crowds, "key").select("h", "key", F.lit(False).alias("own"), "i", "d", "sg")
-        entries = staged(own.unionByName(asks), "entries")
-        met = met.unionByName(entries.select("h"))
-
-    wanted = first.join(met.distinct(), "h", "left_semi")
+    marks = F.broadcast(crowds) if crowded <= BROADCAST_KEYS else crowds
+    some = index.join(marks, "key", "left_anti").unionByName(crowds.select(F.lit(None).cast("long").alias("b"), "key")) if crowded else index
+    probes = lines_of(long).select(F.col("h").alias("a"), F.explode(probe_keys(F.col("line"), threshold)).alias("x")).select("a", "x.*")
+    met = staged(probes.join(some, "key").where("b is null or a <> b").select("a", "b", F.when(F.col("b").isNull(), F.struct("key", "spec")).alias("e")).distinct(), "met")
+    pairs = met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    wanted = first.join(met.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), "h", "left_semi")
     found = staged(wanted.select("h", "n", "first").join(lines_of(wanted), "h"), "lines")
     gone = staged(_later(pairs, found, threshold), "gone")
     if crowded:
-        entries = entries.join(found.select("h", "n", "first"), "h")
+        entries = met.where("b is null").select(F.col("a").alias("h"), "e.key", "e.spec")
+        # a line owns its own segments
+        entries = entries.select("h", "key", F.expr(f"spec div {_I}").cast("int").alias("i"), F.expr(f"spec div {_D} % {_D}").cast("int").alias("d"), (F.col("spec") % _D - threshold).alias("sg"))
+        entries = entries.withColumn("own", (F.col("d") == 0) & (F.col("sg") == 0)).join(found.select("h", "n", "first"), "h")
         entries = _first_holes(entries) if threshold == 2 else entries.withColumns({c: F.lit(0) for c in HOLES})
-        gone = _in_crowds(staged(entries.select("h", "first", "own", "d", "sg", *HOLES, "key"), "entries"), gone, found, threshold, crowd, block)
+        gone = _in_crowds(staged(entries.select("h", "first", "own", "d", "sg", *HOLES, "key"), "entries"), gone, found, threshold, crowd, large, block)
+    drop_staged(docs.sparkSession, met, found)
 
     kept = first.join(gone, "h", "left_anti").groupBy(F.col("first.__did").alias("__did"), F.col("first.__th").alias("__th")).agg(F.collect_list("first.no").alias("__stay"))
     out = rows.join(kept.hint("shuffle_hash"), ["__did", "__th"], "left")

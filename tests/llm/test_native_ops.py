@@ -219,23 +219,23 @@ def crowds():
     }
 
 
-@pytest.mark.parametrize("crowd,block", [(32, 128), (2, 3)])
-@pytest.mark.parametrize("kind", list(crowds()))
-def test_crowded_segments(spark, kind, crowd, block):
-    texts = list(dict.fromkeys(crowds()[kind]))
-    if crowd == 2:
-        texts = texts[:250]
-    out = lines.deduplicated_lines(frame(spark, enumerate(texts)), crowd=crowd, block=block).where("n_removed > 0")
+@pytest.mark.parametrize("kind,most,crowd,large,block", [
+    *((kind, 2000, lines.CROWD, lines.LARGE, lines.BLOCK) for kind in crowds()),  # whole: rows, blocks and finer holes
+    *((kind, 250, 2, 4, 3) for kind in ("one word", "edits", "short")), *((kind, 400, 5, 1 << 20, 50) for kind in ("far", "edits")),
+])
+def test_crowded_segments(spark, kind, most, crowd, large, block):
+    texts = list(dict.fromkeys(crowds()[kind]))[:most]
+    out = lines.deduplicated_lines(frame(spark, enumerate(texts)), crowd=crowd, large=large, block=block).where("n_removed > 0")
     long = [s for s in texts if len(s) >= lines.LEAST_CHARS]
     assert {texts[r.doc_id] for r in out.collect()} == {long[k] for k in near_earlier(long)}
 
 
-def test_lines_with_small_crowds(spark):
-    """Blocks alone (one edit) and finer holes give what pairs give."""
+def test_other_thresholds_in_crowds(spark):
+    """Blocks give what pairs give; finer holes are for two edits."""
     texts = list(dict.fromkeys(crowds()["short"]))[:200]
-    for t in (1, 2):
+    for t in (1, 3):
         want = {r.doc_id for r in lines.deduplicated_lines(frame(spark, enumerate(texts)), t, crowd=10**6).where("n_removed > 0").collect()}
-        assert want and want == {r.doc_id for r in lines.deduplicated_lines(frame(spark, enumerate(texts)), t, crowd=1, block=2).where("n_removed > 0").collect()}
+        assert want and want == {r.doc_id for r in lines.deduplicated_lines(frame(spark, enumerate(texts)), t, crowd=1, block=20).where("n_removed > 0").collect()}
 
 
 def test_null_texts_stay_null(spark):
