@@ -164,30 +164,26 @@ class VectorEngine:
         return self._log.compact()
 
     # reading
-    def _state(self) -> tuple[DataFrame, DataFrame]:
-        """The base without ids that were written since, and the live written rows."""
+    def _state(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The base without ids that were written since, the live written rows, the deleted ids."""
         self.flush()
         newest = writelog.latest(self._log.rows().drop("segment_id", "level"))
         old = self._base.join(newest.select("node_id"), "node_id", "left_anti")
-        return old, newest.where("not is_deleted").select("node_id", "embedding")
+        return old, newest.where("not is_deleted").select("node_id", "embedding"), newest.where("is_deleted").select("node_id")
 
     def vectors(self) -> DataFrame:
         self._need_base()
-        old, new = self._state()
+        old, new, _ = self._state()
         return old.select("node_id", "embedding").unionByName(new)
 
     def search_frame(self, queries: DataFrame, k: int = 10, ef: int | None = None, approximate: bool = True) -> DataFrame:
         """(query_id, rk, node_id, distance) for a table of queries, writes included."""
         self._need_base()
-        conf = SearchConfig(k=k, ef=ef or self.config.search.ef, adc_factor=self.config.search.adc_factor)
-        old, new = self._state()
+        old, new, gone = self._state()
         if not approximate or self._nodes is None:
             return exact.exact_knn(old.select("node_id", "embedding").unionByName(new), queries, k)
-        wide = SearchConfig(k=max(k, conf.ef), ef=max(k, conf.ef), adc_factor=conf.adc_factor)
-        found = search.beam_search(self._base, self._nodes, queries, wide, codes=self._codes, codebook=self._book)
-        found = found.join(old.select("node_id"), "node_id", "left_semi").select("query_id", "node_id", "distance")
-        fresh = exact.exact_knn(new, queries, k).select("query_id", "node_id", "distance")
-        return exact.top_k(found.unionByName(fresh), k).select("query_id", "rk", "node_id", "distance")
+        conf = SearchConfig(k=k, ef=max(k, ef or self.config.search.ef), adc_factor=self.config.search.adc_factor)
+        return search.search_with_delta(self._base, self._nodes, new, queries, conf, gone, codes=self._codes, codebook=self._book)
 
     def search(self, query: list[float], k: int = 10) -> QueryResult:
         began = time.perf_counter()

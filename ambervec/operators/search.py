@@ -23,16 +23,23 @@ WIDTH = 16  # open nodes of a query that one round over a dealt index expands
 
 
 class _Index:
-    """A graph and its vectors as arrays, ids mapped to rows."""
-
-    def __init__(self, ids, vectors, neighbors, entry, codes=None, book=None):
-        order = np.argsort(ids)
-        self.ids = np.asarray(ids, np.int64)[order]
-        self.x = np.asarray(vectors, np.float64)[order]
-        row = {int(i): r for r, i in enumerate(self.ids)}
-        self.adj = [np.array([row[n] for n in neighbors[o] if n in row], np.int64) for o in order]
-        self.entry = row.get(entry, 0)
-        self.codes = None if codes is None else np.asarray(codes, np.int64)[order]
+    """A graph and its vectors as arrays, ids mapped to rows. Hidden rows are walked
+    through but are no results."""
+
+    def __init__(self, ids, vectors, first, neighbors, entry, codes=None, book=None, hidden=None):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], vectors[order]
+        self.hidden = None if hidden is None else hidden[order]
+        # flat neighbour lists in the rows' order; unknown ids are left out
+        size = np.diff(first)[order]
+        flat = neighbors[np.repeat(first[:-1][order] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))]
+        at = np.searchsorted(self.ids, flat)
+        known = (at < len(self.ids)) & (self.ids[np.minimum(at, max(0, len(self.ids) - 1))] == flat) if len(self.ids) else np.zeros(0, bool)
+        row = np.repeat(np.arange(len(size)), size)[known]
+        self.near, self.first = at[known].astype(np.int32), np.searchsorted(row, np.arange(len(size) + 1))
+        start = int(np.searchsorted(self.ids, entry))
+        self.entry = start if start < len(self.ids) and self.ids[start] == entry else 0
+        self.codes = None if codes is None else codes[order]
         self.book = book  # (m, k, width)
 
     def beam(self, q: np.ndarray, k: int, ef: int, factor: float | None = None):
@@ -42,7 +49,8 @@ class _Index:
         d0 = float(((self.x[self.entry] - q) ** 2).sum())
         seen = np.zeros(len(self.x), bool)
         seen[self.entry] = True
-        todo, best, scored = [(d0, self.entry)], [(-d0, -self.entry)], 1
+        todo, scored = [(d0, self.entry)], 1
+        best = [] if self.hidden is not None and self.hidden[self.entry] else [(-d0, -self.entry)]
         table = None
         if self.codes is not None:
             part = q.reshape(len(self.book), 1, -1)
@@ -51,7 +59,8 @@ class _Index:
             d, at = heapq.heappop(todo)
             if len(best) >= ef and d > -best[0][0]:
                 break
-            near = self.adj[at][~seen[self.adj[at]]]
+            near = self.near[self.first[at] : self.first[at + 1]]
+            near = near[~seen[near]]
             if not len(near):
                 continue
             seen[near] = True
@@ -62,16 +71,15 @@ class _Index:
                 if factor and len(best) >= k and len(near) >= k:
                     cut = int(np.searchsorted(est, factor * -best[0][0], "right"))
                     near = near[: max(k, cut)]
-            dist = ((self.x[near] - q) ** 2).sum(1)
+            dist = ((self.x[near].astype(np.float64) - q) ** 2).sum(1)
             scored += len(near)
             for n, v in zip(near.tolist(), dist.tolist()):
-                if len(best) < ef:
-                    heapq.heappush(best, (-v, -n))
-                elif (-v, -n) > best[0]:
-                    heapq.heapreplace(best, (-v, -n))
-                else:
+                if len(best) >= ef and (-v, -n) <= best[0]:
                     continue
                 heapq.heappush(todo, (v, n))
+                if self.hidden is not None and self.hidden[n]:
+                    continue
+                (heapq.heappush if len(best) < ef else heapq.heapreplace)(best, (-v, -n))
         out = sorted((-v, int(self.ids[-n])) for v, n in best)[:k]
         return out, scored
 
@@ -79,9 +87,12 @@ class _Index:
 SCORED = RESULT + ", scored long"
 
 
-def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), entry: int | None = None, codes: DataFrame | None = None, codebook: DataFrame | None = None, shards: int | None = None) -> DataFrame:
+def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), entry: int | None = None, codes: DataFrame | None = None, codebook: DataFrame | None = None, shards: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """(query_id, rk, node_id, distance, scored) by best-first search from the medoid.
 
+    Rows of ``hidden`` (node_id), as rows that were written again or deleted, are
+    walked through but take no place among the k or the ``ef`` best.
+
     An index of up to 256 MB is broadcast and queries are dealt over the tasks. A
     larger one is dealt over ``shards`` parts by node_id and stays one graph: all
     queries move on together in rounds, and each round joins the nodes they expand
@@ -92,9 +103,12 @@ def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: S
     rows = base.select("node_id", "embedding").join(nodes, "node_id")
     if codes is not None:
         rows = rows.join(codes, "node_id")
+    if hidden is not None:
+        rows = rows.join(hidden.select("node_id", F.lit(True).alias("hidden")).distinct(), "node_id", "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
     if shards is None:
-        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-        shards = max(1, -(-(n or 0) * 8 * ((width or 0) + 16) // BROADCAST_BYTES))
+        n, width, edges = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding")), F.sum(F.size("neighbors"))).first()
+        # as Arrow columns on the driver and as arrays in the index
+        shards = max(1, -(-((n or 0) * (12 + 8 * (width or 0)) + 12 * (edges or 0)) // BROADCAST_BYTES))
     if entry is None:
         first = G.medoid(base).select("node_id").first()
         if first is None or first[0] is None:
@@ -118,7 +132,14 @@ def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: S
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["query_id", "rk", "node_id", "distance", "scored"])
 
     def index_of(table: pa.Table) -> _Index:
-        return _Index(table["node_id"].to_numpy(), table["embedding"].to_pylist(), table["neighbors"].to_pylist(), entry, table["codes"].to_pylist() if codes is not None else None, book)
+        t = table.combine_chunks()
+        col = {c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0) for c in t.column_names}
+        flat = lambda c, kind: c.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+        first = np.concatenate(([0], np.cumsum(col["neighbors"].value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        x = flat(col["embedding"], np.float32).reshape(t.num_rows, -1)
+        seen = flat(col["codes"], np.int64).reshape(t.num_rows, -1) if codes is not None else None
+        away = col["hidden"].to_numpy(zero_copy_only=False) if hidden is not None else None
+        return _Index(col["node_id"].to_numpy(), x, first, flat(col["neighbors"], np.int64), entry, seen, book, away)
 
     q = queries.select("query_id", "embedding")
     if shards == 1:
@@ -136,7 +157,7 @@ def beam_search(base: DataFrame, nodes: DataFrame, queries: DataFrame, config: S
     return _in_rounds(rows, q, entry, k, ef, factor, book, shards)
 
 
-_STATE = "q long, query_id long, v array<double>, best array<struct<d:double,id:long,open:boolean>>, seen array<bigint>, scored long"
+_STATE = "q long, query_id long, v array<double>, best array<struct<d:double,id:long,open:boolean,hidden:boolean>>, seen array<bigint>, scored long"
 
 
 def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int, factor: float | None, book: np.ndarray | None, shards: int) -> DataFrame:
@@ -155,26 +176,28 @@ def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int,
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     coded = "codes" in rows.columns
+    if "hidden" not in rows.columns:
+        rows = rows.withColumn("hidden", F.lit(False))
     index = kept(rows.repartition(shards, "node_id"), "index")
     start = index.where(F.col("node_id") == entry).first() or index.orderBy("node_id").first()
     if start is None:
         return spark.createDataFrame([], SCORED)
     x0 = F.array(*(F.lit(float(x)) for x in start.embedding))
     state = queries.select(F.monotonically_increasing_id().alias("q"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
-    one = F.struct(V.l2_squared("v", x0).cast("double").alias("d"), F.lit(start.node_id).cast("long").alias("id"), F.lit(True).alias("open"))
+    one = F.struct(V.l2_squared("v", x0).cast("double").alias("d"), F.lit(start.node_id).cast("long").alias("id"), F.lit(True).alias("open"), F.lit(start.hidden).alias("hidden"))
     state = kept(state.withColumns({"best": F.array(one), "seen": F.array(F.lit(start.node_id).cast("long")), "scored": F.lit(1).cast("long")}), "round-0")
 
     def score(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, v = (np.array(b.column(c).to_pylist(), np.float64) for c in ("embedding", "v"))
+            x, v = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) for c in ("embedding", "v"))
             d = ((x - v) ** 2).sum(1)
             est = d
             if coded:
-                at = np.array(b.column("codes").to_pylist(), np.int64)
+                at = b.column("codes").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b.num_rows, -1)
                 est = ((book[np.arange(len(book)), at] - v.reshape(len(v), len(book), -1)) ** 2).sum((1, 2))
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), pa.array(d), pa.array(est)], ["q", "id", "d", "est"])
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), pa.array(d), pa.array(est), b.column("hidden")], ["q", "id", "d", "est", "hidden"])
 
     def merge(batches):
         for b in batches:
@@ -184,12 +207,14 @@ def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int,
                 for e in sorted((e for e in best if e["open"]), key=lambda e: (e["d"], e["id"]))[:WIDTH]:
                     e["open"] = False
                 r["seen"] += r.pop("fresh") or []
-                if coded and factor and len(best) >= k and len(near) >= k:
+                if coded and factor and sum(not e["hidden"] for e in best) >= k and len(near) >= k:
                     worst = max(e["d"] for e in best)
                     near = near[: max(k, sum(h["est"] <= factor * worst for h in near))]
                 r["scored"] += len(near)
-                best += [{"d": h["d"], "id": h["id"], "open": True} for h in near]
-                r["best"] = sorted(best, key=lambda e: (e["d"], e["id"]))[:ef]
+                best += [{"d": h["d"], "id": h["id"], "open": True, "hidden": h["hidden"]} for h in near]
+                best.sort(key=lambda e: (e["d"], e["id"]))
+                shown = np.cumsum([not e["hidden"] for e in best])
+                r["best"] = best[: int(np.searchsorted(shown, ef)) + 1]  # hidden ones take no place
             yield pa.RecordBatch.from_pylist(out, schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -202,21 +227,25 @@ def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int,
         hop = at.join(index.select("node_id", "neighbors"), "node_id").groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("neighbors"))).alias("near"))
         grown = state.join(hop, "q", "left").withColumn("fresh", F.array_except("near", "seen")).drop("near")
         ask = grown.select("q", "v", F.explode("fresh").alias("id"))
-        data = index.select(F.col("node_id").alias("id"), "embedding", *(["codes"] if coded else []))
-        hits = ask.join(data, "id").mapInArrow(score, "q long, id long, d double, est double")
-        hits = hits.groupBy("q").agg(F.collect_list(F.struct("d", "est", "id")).alias("hits"))
+        data = index.select(F.col("node_id").alias("id"), "embedding", "hidden", *(["codes"] if coded else []))
+        hits = ask.join(data, "id").mapInArrow(score, "q long, id long, d double, est double, hidden boolean")
+        hits = hits.groupBy("q").agg(F.collect_list(F.struct("d", "est", "id", "hidden")).alias("hits"))
         done += 1
         state = kept(grown.join(hits, "q", "left").mapInArrow(merge, _STATE), f"round-{done}")
-    out = state.select("query_id", "scored", F.posexplode(F.slice("best", 1, k)).alias("at", "e"))
+    out = state.select("query_id", "scored", F.posexplode(F.slice(F.filter("best", lambda e: ~e["hidden"]), 1, k)).alias("at", "e"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rk"), F.col("e.id").alias("node_id"), F.sqrt("e.d").alias("distance"), "scored")
 
 
-def search_with_delta(base: DataFrame, nodes: DataFrame, delta: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Beam search of the indexed base and exact search of rows written since, the k best of both."""
-    old = beam_search(base, nodes, queries, config).select("query_id", "node_id", "distance")
+def search_with_delta(base: DataFrame, nodes: DataFrame, delta: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig(), deleted: DataFrame | None = None, **index) -> DataFrame:
+    """Beam search of the indexed base and exact search of rows written since, the k best of both.
+
+    Written rows replace indexed ones of their id, and ids of ``deleted`` (node_id) are
+    no results: both are hidden from the beam, so k others are still found. ``index``
+    goes to `beam_search` (codes, codebook, shards).
+    """
+    away = delta.select("node_id") if deleted is None else delta.select("node_id").unionByName(deleted.select("node_id"))
+    old = beam_search(base, nodes, queries, config, hidden=away, **index).select("query_id", "node_id", "distance")
     new = exact_knn(delta, queries, config.k).select("query_id", "node_id", "distance")
-    # a written row replaces an indexed one
-    old = old.join(delta.select("node_id").distinct(), "node_id", "left_anti")
     return top_k(old.unionByName(new), config.k).select("query_id", "rk", "node_id", "distance")
 
 

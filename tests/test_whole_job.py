@@ -55,3 +55,22 @@ def test_cells_keep_the_candidates_and_the_recall(spark, spread):
         nodes = graph.build_graph(base, conf, exact_rows=100, cell_rows=20)
         q = asked(base, 20)
         assert metrics.recall_micro(search.beam_search(base, nodes, q, SearchConfig(10, 50)), exact.exact_knn(base, q, 10), 10).first().recall >= 0.9
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_replaced_and_deleted_rows_leave_k_results(spark, shards):
+    """However many near rows were written again or deleted, the k best of what is left come."""
+    x = np.random.default_rng(5).normal(0, 1, (400, 8))
+    base = table(spark, x)
+    nodes = spark.createDataFrame(graph.build_graph(base, GraphConfig(max_degree=16, candidates=40)).collect(), graph.NODES)
+    q = asked(base, 50)
+    near = [r.node_id for r in exact.exact_knn(base, q, 9).select("node_id").distinct().collect()]
+    for away, fresh in ((near, x[near] + 50), (near[: len(near) // 2], x[near[: len(near) // 2]]), ([], x[:0])):
+        delta = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(away[::2], fresh[::2])], "node_id long, embedding array<float>")
+        deleted = spark.createDataFrame([(i,) for i in away[1::2]], "node_id long")
+        left = base.join(spark.createDataFrame([(i,) for i in away], "node_id long"), "node_id", "left_anti").unionByName(delta)
+        truth = exact.exact_knn(left, q, 10).cache()
+        found = search.search_with_delta(base, nodes, delta, q, SearchConfig(10, 60), deleted, shards=shards).cache()
+        assert found.count() == truth.count() == 80
+        assert not {r.node_id for r in found.collect()} & set(away[1::2])
+        assert metrics.recall_micro(found, truth, 10).first().recall >= 0.95
