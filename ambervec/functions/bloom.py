@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -32,21 +32,23 @@ def might_contain(bloom, node_id) -> Column:
     return (F.coalesce(F.size(bloom), F.lit(0)) <= 0) | F.forall(bloom_bits(node_id), lambda bit: F.array_contains(bloom, bit))
 
 
-@F.pandas_udf(IntegerType())
-def page_checksum(page: pd.Series) -> pd.Series:
+@F.arrow_udf(IntegerType())
+def page_checksum(page: pa.Array) -> pa.Array:
     """Fletcher checksum modulo 255 over a page's first 4092 bytes; shorter pages are filled with zeros."""
     n = PAGE_SIZE - 4
-    weight = np.arange(n, 0, -1, dtype=np.int64)
-
-    def one(raw) -> int | None:
-        if raw is None:
-            return None
-        x = np.zeros(n, np.int64)
-        got = np.frombuffer(bytes(raw[:n]), np.uint8)
-        x[: len(got)] = got
-        return int((x * weight).sum() % 255) << 8 | int(x.sum() % 255)
-
-    return page.map(one)
+    col = page.cast(pa.large_binary())
+    if not len(col):
+        return pa.array([], pa.int32())
+    off = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    size = np.where(col.is_valid().to_numpy(zero_copy_only=False), np.minimum(np.diff(off), n), 0)
+    upto = np.cumsum(size)
+    place = np.arange(upto[-1]) - np.repeat(upto - size, size)  # in its page
+    data = np.frombuffer(col.buffers()[2], np.uint8)[np.repeat(off[:-1], size) + place].astype(np.int64) if upto[-1] else np.zeros(0, np.int64)
+    run = np.zeros((2, len(data) + 1), np.int64)
+    np.cumsum(data, out=run[0, 1:])
+    np.cumsum(data * (n - place), out=run[1, 1:])
+    plain, weighted = (run[:, upto] - run[:, upto - size]) % 255
+    return pa.array((weighted << 8 | plain).astype(np.int32), mask=~col.is_valid().to_numpy(zero_copy_only=False))
 
 
 def with_checksum(page) -> Column:

@@ -24,30 +24,73 @@ def top_k(scored: DataFrame, k: int, by: str = "distance") -> DataFrame:
 def exact_knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
     """(query_id, rk, node_id, distance) of the k nearest base rows of each query.
 
-    Queries are counted: up to 2,000 they are broadcast and scored by column
-    expressions, with the k best per task kept before the shuffle; beyond that
-    blocks of queries go through `blocked_knn`.
+    Queries are counted: up to 2,000 they are sent to the tasks, which keep the k best
+    of each as they read the base once; beyond that blocks of queries go through
+    `blocked_knn`. Rows without a vector are no results.
     """
     if k < 0:
         raise InvalidArgument("k must not be negative")
     if metric not in V.METRICS:
         raise InvalidArgument(f"unknown metric {metric!r}")
-    if queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return blocked_knn(base, queries, k, metric)
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    scored = base.select("node_id", "embedding").crossJoin(q)  # a counted query set against all rows
-    scored = scored.select("query_id", "node_id", V.METRICS[metric]("embedding", "q").alias("distance"))
-    return top_k(scored, k).select("query_id", "rk", "node_id", "distance")
+    base = base.where(F.col("embedding").isNotNull())
+    few = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.col("embedding").isNotNull()).limit(BROADCAST_ROWS + 1).toArrow()
+    if few.num_rows > BROADCAST_ROWS:
+        return blocked_knn(base, queries.where(F.col("embedding").isNotNull()), k, metric)
+    return top_k(_nearest(base, few, k, metric), k).select("query_id", "rk", "node_id", "distance")
 
 
-def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+def _nearest(base: DataFrame, queries: pa.Table, k: int, metric: str, cells: int = 1 << 21) -> DataFrame:
+    """(query_id, node_id, distance): the k nearest of each query in each task.
+
+    Matrix products say which rows can be among the k nearest; only their distances
+    are computed again, row by row, so equal vectors get equal distances.
+    """
+    ids = queries.column("query_id").to_numpy()
+    q = _matrix(queries.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, 0))
+    held = base.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches):
+        ids, q = held.value
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, node, distance
+        for batch in batches:
+            step = max(1, cells // max(1, len(q)))
+            for lo in range(0, batch.num_rows if len(q) and k else 0, step):
+                part = batch.slice(lo, step)
+                nodes, x = part.column("node_id").to_numpy(), _matrix(part.column("embedding"))
+                if x.shape[1] != q.shape[1]:
+                    raise InvalidArgument("dimension mismatch")
+                d = _scores(x, q, metric, False)
+                near = np.partition(d, k - 1, axis=1)[:, k - 1] if len(nodes) > k else np.full(len(q), np.inf)
+                a, b = np.nonzero(~(d > (near + 1e-9 * (1 + np.abs(near) + (q * q).sum(1)))[:, None]))
+                best = tuple(np.concatenate(both) for both in zip(best, (a, nodes[b], _exactly(x[b], q[a], metric))))
+                order = np.lexsort((best[1], best[2], best[0]))
+                a = best[0][order]
+                rank = np.arange(len(a)) - np.searchsorted(a, a)
+                best = tuple(c[order][rank < k] for c in best)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2])], ["query_id", "node_id", "distance"])
+
+    return base.select(F.col("node_id").cast("long").alias("node_id"), "embedding").mapInArrow(run, "query_id long, node_id long, distance double")
+
+
+def _exactly(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows to rows."""
+    if metric == "ip":
+        return -(x * q).sum(1)
+    if metric == "cosine":
+        n = np.sqrt((x * x).sum(1) * (q * q).sum(1))
+        return np.where(n > 0, 1 - (x * q).sum(1) / np.where(n > 0, n, 1), 1.0)
+    d = ((x - q) ** 2).sum(1)
+    return np.sqrt(d) if metric == "l2" else d
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str, root: bool = True) -> np.ndarray:
     if metric == "ip":
         return -(q @ x.T)
     if metric == "cosine":
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
         return np.where(n > 0, 1 - q @ x.T / np.where(n > 0, n, 1), 1.0)
     d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * (q @ x.T), 0)
-    return np.sqrt(d) if metric == "l2" else d
+    return np.sqrt(d) if metric == "l2" and root else d
 
 
 def _blocks(rows: DataFrame, id_col: str, size: int, name: str) -> DataFrame:
@@ -59,6 +102,8 @@ def _blocks(rows: DataFrame, id_col: str, size: int, name: str) -> DataFrame:
 
 
 def _matrix(lists) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
     sizes = lists.value_lengths().unique()
     if len(sizes) != 1:
         raise InvalidArgument("dimension mismatch")

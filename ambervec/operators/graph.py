@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import GraphConfig
+from ..config import GraphConfig, SearchConfig
 from ..errors import InvalidArgument
 from ..functions import vectors as V
-from .exact import blocked_knn, exact_knn, near_in_blocks
+from ..sources.scratch import scratch_dir, written
+from .exact import batch_lookup, blocked_knn, exact_knn, near_in_blocks
+from .quantize import matrix
 
 NODES = "node_id long, neighbors array<long>"
 
@@ -134,31 +136,53 @@ def prune_order(d: np.ndarray, cross: np.ndarray, degree: int, alpha: float, rul
 
 
 def robust_prune(candidates: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """Neighbour lists from candidates (node_id, embedding, cands array<struct<id, v>>)."""
+    """Neighbour lists from candidates (node_id, embedding, cands array<struct<id, v>>).
+
+    Vectors come as flat Arrow buffers and a node's candidates meet in one matrix
+    product; only the greedy choice goes step by step, over at most max_degree kept
+    ones.
+    """
 
     def run(batches):
         for b in batches:
-            ids, lists = b.column("node_id").to_pylist(), []
-            for node, v, cands in zip(ids, b.column("embedding").to_pylist(), b.column("cands").to_pylist()):
-                c = {x["id"]: x["v"] for x in cands if x["id"] != node}
-                if not c:
-                    lists.append([])
-                    continue
-                key = np.array(list(c), np.int64)
-                x, q = np.array(list(c.values()), np.float64), np.array(v, np.float64)
-                d = ((x - q) ** 2).sum(1)
+            if not b.num_rows:
+                continue
+            cands = b.column("cands")
+            first = np.concatenate(([0], np.cumsum(cands.value_lengths().to_numpy(zero_copy_only=False))))
+            flat = cands.flatten()
+            ids, own = flat.field("id").to_numpy(zero_copy_only=False), b.column("node_id").to_numpy()
+            q = matrix(b.column("embedding"))
+            x = matrix(flat.field("v")) if len(flat) else np.zeros((0, q.shape[1]))
+            if len(flat) and x.shape[1] != q.shape[1]:
+                raise InvalidArgument("dimension mismatch")
+            lists = []
+            for i in range(b.num_rows):
+                lo, hi = int(first[i]), int(first[i + 1])
+                # each candidate once, without the node itself
+                key, at = np.unique(ids[lo:hi], return_index=True)
+                at = at[key != own[i]] + lo
+                key, v = key[key != own[i]], x[at]
+                d = ((v - q[i]) ** 2).sum(1)
                 order = np.lexsort((key, d))
-                key, x, d = key[order], x[order], d[order]
-                n2 = (x * x).sum(1)
-                cross = np.maximum(n2[:, None] + n2 - 2 * x @ x.T, 0)
-                same = (x[:, None, :] == x[None, :, :]).all(2) if len(x) <= 256 else cross <= 1e-12
-                cross[same] = 0
-                lists.append(key[prune_order(d, cross, config.max_degree, config.alpha, config.rule)].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["node_id", "neighbors"])
+                key, v, d = key[order], v[order], d[order]
+                lists.append(key[prune_order(d, _cross(v), config.max_degree, config.alpha, config.rule)])
+            size = np.fromiter(map(len, lists), np.int32, len(lists))
+            out = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(np.concatenate(lists).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(own), out], ["node_id", "neighbors"])
 
     return candidates.select("node_id", "embedding", "cands").mapInArrow(run, NODES)
 
 
+def _cross(v: np.ndarray) -> np.ndarray:
+    """Squared distances among rows; 0 between equal ones."""
+    n2 = (v * v).sum(1)
+    cross = np.maximum(n2[:, None] + n2 - 2 * v @ v.T, 0)
+    for i, j in np.argwhere(np.triu(cross <= 1e-9 * (1 + n2[:, None] + n2), 1)):
+        cross[i, j] = cross[j, i] = ((v[i] - v[j]) ** 2).sum()
+    np.fill_diagonal(cross, 0)
+    return cross
+
+
 def _with_vectors(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """(node_id, embedding, cands) from pairs (src, dst): bounded lists, as many as candidates a node."""
     v = base.select("node_id", "embedding")
@@ -237,7 +261,7 @@ def cell_knn(base: DataFrame, k: int, cells: int, overlap: int = 2, block: int =
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column("embedding").to_pylist(), np.float64)
+            x = matrix(b.column("embedding"))
             d = (x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T
             m = min(overlap, len(p))
             near = np.argsort(d, axis=1, kind="stable")[:, :m].astype(np.int32)
@@ -289,12 +313,20 @@ def _nearest_only(pairs: DataFrame, base: DataFrame, most: int) -> DataFrame:
     return d.select("src", "dst", V.l2_squared("a", "b").alias("d2")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("src", "dst")
 
 
-def insert_nodes(nodes: DataFrame, base: DataFrame, fresh: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """Add rows to a graph: their candidates among all rows are pruned, reverse edges
-    are added, and only lists over ``max_degree`` are pruned again."""
+def insert_nodes(nodes: DataFrame, base: DataFrame, fresh: DataFrame, config: GraphConfig = GraphConfig(), shards: int | None = None) -> DataFrame:
+    """Add rows to a graph. Candidates of a fresh row are what a beam search of the graph
+    finds for it, and its nearest other fresh rows; they are pruned, reverse edges are
+    added, and only lists over ``max_degree`` are pruned again. Work grows with the
+    fresh rows, not with the base times them. An empty graph gives a built one."""
+    from .search import beam_search
+
+    if nodes.isEmpty():
+        return build_graph(fresh, config)
     everything = base.select("node_id", "embedding").unionByName(fresh.select("node_id", "embedding"))
     q = fresh.select(F.col("node_id").alias("query_id"), "embedding")
-    near = exact_knn(everything, q, config.candidates + 1).where("query_id <> node_id").select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"))
+    walk = SearchConfig(k=config.candidates, ef=config.candidates)
+    near = beam_search(base, nodes, q, walk, shards=shards).select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"))
+    near = near.unionByName(near_candidates(fresh, config, 100_000, 10_000)).where("src <> dst").distinct()
     added = robust_prune(_with_vectors(near, everything).join(fresh.select("node_id"), "node_id", "left_semi"), config)
     back = edges(added).select(F.col("dst").alias("node_id"), F.col("src").alias("other")).groupBy("node_id").agg(F.collect_set("other").alias("more"))
     grown = nodes.unionByName(added).join(back, "node_id", "left").select("node_id", F.array_union("neighbors", F.coalesce("more", F.array().cast("array<long>"))).alias("neighbors"))
@@ -324,3 +356,48 @@ def disk_index(base: DataFrame, nodes: DataFrame, codes: DataFrame, max_degree:
     lists = e.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("codes", zero).alias("c")))).alias("x"))
     rows = base.select("node_id", "embedding").join(short, "node_id", "left").join(lists, "node_id", "left")
     return rows.select("node_id", "embedding", F.coalesce("neighbors", F.array().cast("array<long>")).alias("neighbors"), F.coalesce(F.col("x.c"), F.array().cast("array<array<smallint>>")).alias("neighbor_codes"))
+
+
+def read_records(ids: DataFrame, records: DataFrame) -> DataFrame:
+    """Stored records of listed ids (pos, node_id): the vector, its neighbours and their
+    codes, each neighbour with its code, and whether the id is there."""
+    return batch_lookup(ids, records, ["embedding", "neighbors", "neighbor_codes"])
+
+
+def unpack_record(records: DataFrame) -> DataFrame:
+    """(node_id, pos, neighbor, code): a record's neighbours one by one; the code is empty
+    where none was stored."""
+    both = records.select("node_id", F.posexplode(F.arrays_zip("neighbors", "neighbor_codes")).alias("pos", "x"))
+    return both.select("node_id", "pos", F.col("x.neighbors").alias("neighbor"), F.col("x.neighbor_codes").alias("code"))
+
+
+def graph_report(nodes: DataFrame, base: DataFrame, max_degree: int, entry: int | None = None) -> DataFrame:
+    """One row of a graph's contract: nodes, rows without a list (missing), lists that are
+    too long (over), edges to themselves, repeated or to unknown ids, and nodes that
+    can't be reached from the entry (the medoid)."""
+    e = edges(nodes)
+    known = base.select("node_id")
+    if entry is None:
+        first = medoid(base).first()
+        entry = first.node_id if first else None
+    folder = scratch_dir(base.sparkSession, "reach")
+    links = written(e.where("src <> dst").distinct(), f"{folder}/links")
+    seen = front = written(known.where(F.col("node_id") == entry).distinct(), f"{folder}/seen-0")
+    step = 0
+    while not front.isEmpty():
+        step += 1
+        reached = links.join(front.withColumnRenamed("node_id", "src"), "src").select(F.col("dst").alias("node_id")).distinct().join(known, "node_id", "left_semi")
+        front = written(reached.join(seen, "node_id", "left_anti"), f"{folder}/front-{step}")
+        seen = written(seen.unionByName(front), f"{folder}/seen-{step}")
+    one = F.count(F.lit(1))
+    lists = nodes.agg(
+        one.alias("nodes"), F.count_if(F.size("neighbors") > max_degree).alias("over"), F.count_if(F.size("neighbors") > F.size(F.array_distinct("neighbors"))).alias("repeated"),
+        F.coalesce(F.sum(F.size(F.filter("neighbors", lambda n: n == F.col("node_id")))), F.lit(0)).alias("selfs"),
+    )
+    counts = [
+        known.join(nodes, "node_id", "left_anti").agg(one.alias("missing")), e.join(known, e.dst == known.node_id, "left_anti").agg(one.alias("unknown")),
+        known.join(seen, "node_id", "left_anti").agg(one.alias("unreached")),
+    ]
+    for c in counts:
+        lists = lists.crossJoin(c)  # one row each
+    return lists.select("nodes", "missing", "over", "selfs", "repeated", "unknown", "unreached")

@@ -71,10 +71,51 @@ def as_row(codebook: DataFrame) -> DataFrame:
     return subs.agg(F.array_sort(F.collect_list(F.struct("sub", F.col("c.centroid").alias("c")))).alias("x")).select(F.col("x.c").alias("codebook"))
 
 
-def encode(base: DataFrame, codebook: DataFrame) -> DataFrame:
-    """(node_id, codes)."""
-    book = F.broadcast(as_row(codebook))  # one row of m * k centroids
-    return base.crossJoin(book).select("node_id", pq.encode("embedding", "codebook").alias("codes"))
+def book_array(codebook: DataFrame) -> np.ndarray:
+    """(m, k, width): a codebook has a fixed size whatever the table's."""
+    rows = sorted(codebook.collect(), key=lambda r: (r["sub"], r["code"]))
+    m = len({r["sub"] for r in rows})
+    return np.array([r["centroid"] for r in rows], np.float64).reshape(m, len(rows) // max(m, 1), -1)
+
+
+def matrix(lists) -> np.ndarray:
+    """A column of equally long lists as (rows, size) numbers, without Python lists."""
+    sizes = lists.value_lengths().unique()
+    if len(sizes) > 1 or lists.null_count:
+        raise InvalidArgument("dimension mismatch")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def encode(base: DataFrame, codebook: DataFrame, block: int = 4096) -> DataFrame:
+    """(node_id, codes): the nearest centroid of every part; the first one wins ties.
+
+    A block of rows meets a subspace's centroids as one matrix product; distances
+    within rounding of the least are computed again exactly, so ties are the same as
+    by `pq.encode`.
+    """
+    book = base.sparkSession.sparkContext.broadcast(book_array(codebook))  # m * k centroids
+
+    def run(batches):
+        c = book.value
+        norm = (c * c).sum(2)
+        for b in batches:
+            for lo in range(0, b.num_rows, block):
+                part = b.slice(lo, block)
+                x = matrix(part.column("embedding")).reshape(part.num_rows, len(c), -1)
+                out = np.empty((part.num_rows, len(c)), np.int16)
+                for j in range(len(c)):
+                    v = x[:, j]
+                    d = (v * v).sum(1)[:, None] + norm[j] - 2 * v @ c[j].T
+                    low = d.min(1)
+                    near = d <= (low + 1e-9 * (1 + np.abs(norm[j]).max() + (v * v).sum(1)))[:, None]
+                    out[:, j] = d.argmin(1)
+                    for i in np.flatnonzero(near.sum(1) > 1):
+                        at = np.flatnonzero(near[i])
+                        out[i, j] = at[((v[i] - c[j, at]) ** 2).sum(1).argmin()]
+                lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(c), dtype=np.int32), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("node_id").cast(pa.int64()), lists], ["node_id", "codes"])
+
+    return base.select("node_id", "embedding").mapInArrow(run, "node_id long, codes array<smallint>")
 
 
 def decode(codes: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -87,10 +128,65 @@ def distance_tables(queries: DataFrame, codebook: DataFrame) -> DataFrame:
     return queries.crossJoin(F.broadcast(as_row(codebook))).select("query_id", pq.distance_table("embedding", "codebook").alias("table"))
 
 
+TABLE_BYTES = 16 << 20  # distance tables of the queries that one block holds
+
+
 def adc_top(codes: DataFrame, tables: DataFrame, r: int) -> DataFrame:
-    """(query_id, rk, node_id, adc) of the r nearest by estimated squared distance."""
-    scored = codes.crossJoin(F.broadcast(tables)).select("query_id", "node_id", pq.adc_distance("codes", "table").alias("adc"))
-    return top_k(scored, r, "adc").select("query_id", "rk", "node_id", "adc")
+    """(query_id, rk, node_id, adc) of the r nearest by estimated squared distance.
+
+    Queries go in blocks whose distance tables fit ``TABLE_BYTES``, and every block meets
+    all codes where they lie: a task keeps the r best of each query, so r rows a task
+    and query are shuffled, and no more than a block's tables is sent at a time.
+    """
+    n, size = tables.agg(F.count(F.lit(1)), F.max(F.size("table") * F.size(F.element_at("table", 1)))).first() if r > 0 else (0, 0)
+    blocks = max(1, -(-(n or 0) * 8 * (size or 0) // TABLE_BYTES))
+    out = None
+    for k in range(blocks):
+        some = tables if blocks == 1 else tables.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        rows = some.toArrow() if n else pa.table({"query_id": []})  # a block of counted size
+        part = _adc_best(codes, rows, r)
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, r, "adc").select("query_id", "rk", "node_id", "adc")
+
+
+def _adc_best(codes: DataFrame, tables: pa.Table, r: int) -> DataFrame:
+    q = tables.column("query_id").to_numpy() if tables.num_rows else np.zeros(0, np.int64)
+    t = tables.column("table").combine_chunks() if tables.num_rows else None
+    if isinstance(t, pa.ChunkedArray):
+        t = t.chunk(0)
+    m = t.value_lengths()[0].as_py() if len(q) else 0
+    flat = t.flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(q), m, -1) if len(q) else None
+    held = codes.sparkSession.sparkContext.broadcast((q, flat))
+
+    def run(batches):
+        q, flat = held.value
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q]
+        for b in batches:
+            if not b.num_rows or not len(q):
+                continue
+            ids, at = b.column("node_id").to_numpy(), matrix(b.column("codes")).astype(np.int64)
+            for i in range(len(q)):
+                d = flat[i, 0, at[:, 0]].copy()
+                for j in range(1, at.shape[1]):
+                    d += flat[i, j, at[:, j]]
+                d, n = np.concatenate([best[i][0], d]), np.concatenate([best[i][1], ids])
+                if len(d) > r:
+                    worst = np.partition(d, r - 1)[r - 1]
+                    keep = d <= worst  # ties stay until they are ordered
+                    d, n = d[keep], n[keep]
+                    order = np.lexsort((n, d))[:r]
+                    d, n = d[order], n[order]
+                best[i] = (d, n)
+        for i, (d, n) in enumerate(best):
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), q[i])), pa.array(n), pa.array(d)], ["query_id", "node_id", "adc"])
+
+    return codes.select("node_id", "codes").mapInArrow(run, "query_id long, node_id long, adc double")
+
+
+def adc_scores(codes: DataFrame, tables: DataFrame) -> DataFrame:
+    """(query_id, node_id, adc) of a few queries' tables against all codes, as column expressions."""
+    return codes.crossJoin(F.broadcast(tables)).select("query_id", "node_id", pq.adc_distance("codes", "table").alias("adc"))  # a counted query set
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -4,8 +4,6 @@ together with rows written since."""
 from __future__ import annotations
 
 import heapq
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..errors import InvalidArgument
 from ..functions import vectors as V
+from ..sources.scratch import remove, scratch_dir, written
 from . import graph as G
 from .exact import RESULT, exact_knn, top_k
 
@@ -169,11 +168,10 @@ def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int,
     which is the stopping rule of `_Index.beam`. States are written after each round.
     """
     spark = rows.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/beam-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "beam")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return written(df, f"{folder}/{name}")
 
     coded = "codes" in rows.columns
     if "hidden" not in rows.columns:
@@ -232,6 +230,7 @@ def _in_rounds(rows: DataFrame, queries: DataFrame, entry: int, k: int, ef: int,
         hits = hits.groupBy("q").agg(F.collect_list(F.struct("d", "est", "id", "hidden")).alias("hits"))
         done += 1
         state = kept(grown.join(hits, "q", "left").mapInArrow(merge, _STATE), f"round-{done}")
+        remove(spark, f"{folder}/round-{done - 1}")
     out = state.select("query_id", "scored", F.posexplode(F.slice(F.filter("best", lambda e: ~e["hidden"]), 1, k)).alias("at", "e"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rk"), F.col("e.id").alias("node_id"), F.sqrt("e.d").alias("distance"), "scored")
 

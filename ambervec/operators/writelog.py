@@ -7,6 +7,9 @@ they lie in matter.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,9 +192,7 @@ class LogTable:
         writer.mode("overwrite").parquet(f"{self.path}/segment={segment_id}")
 
     def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, p = _fs(self.spark, self.path)
         return fs.exists(p) and len(fs.listStatus(p)) > 0
 
     def rows(self) -> DataFrame:
@@ -199,9 +200,18 @@ class LogTable:
             return self.spark.createDataFrame([], LOG + ", segment_id long, level int")
         return self.spark.read.option("basePath", self.path).option("mergeSchema", "true").parquet(self.path).drop("segment")
 
-    def next_id(self) -> int:
+    def next_id(self, merged: bool = False) -> int:
+        """An unused segment number greater than all others: even for written rows, odd
+        for a compaction's, so a stream's batches (twice their number) and compactions
+        never name the same segment."""
         last = self.rows().agg(F.max("segment_id")).first()[0]
-        return 0 if last is None else last + 1
+        at = 0 if last is None else last + 1
+        return at + (at % 2 != int(merged))
+
+    def drop(self, segment_id: int) -> bool:
+        """Delete one segment; whether it was there."""
+        fs, p = _fs(self.spark, f"{self.path}/segment={segment_id}")
+        return fs.exists(p) and fs.delete(p, True)
 
     def view(self) -> DataFrame:
         return live(self.rows().drop("segment_id", "level"))
@@ -221,14 +231,91 @@ class LogTable:
         chosen = [r.segment_id for r in size_tiered_choice(known, level, self.config).collect()]  # at most most_tables
         if not chosen:
             return None
-        new_id = self.next_id()
+        new_id = self.next_id(merged=True)
         rows = self.rows()
         mine = rows.where(F.col("segment_id").isin(chosen))
         full = final and rows.where(~F.col("segment_id").isin(chosen)).limit(1).count() == 0
         out = merged(mine.drop("segment_id", "level"), full)
         self.append(out, new_id, level + 1)
-        jvm = self.spark.sparkContext._jvm
         for s in chosen:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/segment={s}")
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self.drop(s)
         return new_id
+
+
+class Compactor:
+    """Compaction beside the writers: a thread that merges a table's segments.
+
+    ``start`` and ``stop`` begin and end it, ``pause`` and ``resume`` hold it between two
+    merges, ``pending`` counts the segments that wait in levels a merge would take,
+    ``on_done`` is called with each new segment's number, and ``bytes_per_s`` makes it
+    wait after a merge as long as its bytes take at that rate.
+    """
+
+    def __init__(self, table: LogTable, every_s: float = 1.0, bytes_per_s: float | None = None, on_done: Callable[[int], None] | None = None):
+        self.table, self.every_s, self.bytes_per_s, self.on_done = table, every_s, bytes_per_s, on_done
+        self.done = 0
+        self.error: Exception | None = None
+        self._halt, self._go = threading.Event(), threading.Event()
+        self._go.set()
+        self._thread: threading.Thread | None = None
+
+    @property
+    def running(self) -> bool:
+        return self._thread is not None and self._thread.is_alive()
+
+    @property
+    def paused(self) -> bool:
+        return not self._go.is_set()
+
+    def start(self) -> None:
+        if not self.running:
+            self._halt.clear()
+            self._thread = threading.Thread(target=self._run, daemon=True)
+            self._thread.start()
+
+    def stop(self) -> None:
+        """End after the merge that is running."""
+        self._halt.set()
+        self._go.set()
+        if self._thread is not None:
+            self._thread.join()
+
+    def pause(self) -> None:
+        self._go.clear()
+
+    def resume(self) -> None:
+        self._go.set()
+
+    def pending(self) -> int:
+        n = self.table.manifest().groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+        return n.where(F.col("n") >= self.table.config.tables_to_compact).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def run_once(self) -> int | None:
+        """One merge where there is something to merge; its segment's number."""
+        made = self.table.compact()
+        if made is not None:
+            self.done += 1
+            if self.on_done:
+                self.on_done(made)
+        return made
+
+    def _run(self) -> None:
+        while not self._halt.is_set():
+            self._go.wait()
+            if self._halt.is_set():
+                return
+            try:
+                made = self.run_once()
+            except Exception as e:  # kept for the caller; the log is whole, since merges commit before they delete
+                self.error = e
+                return
+            wait = self.every_s
+            if made is not None and self.bytes_per_s:
+                size = self.table.manifest().where(F.col("segment_id") == made).agg(F.coalesce(F.max("size_bytes"), F.lit(0))).first()[0]
+                wait = max(wait, size / self.bytes_per_s)
+            self._halt.wait(wait)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

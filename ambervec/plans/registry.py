@@ -1,16 +1,12 @@
 """Named queries over the test tables and the SQL that must give the same rows.
 
 Vectors are `embeddings` (vec_id as node_id). Queries are the rows whose id is
-divisible by 100, or the first 20 rows where registered SQL says so; the write log is
-`events` (key user_id, sequence event_id, tombstone = event_type 'error'). Distances
+divisible by 100, against all rows; the write log is `events` (key user_id, sequence event_id, tombstone = event_type 'error'). Distances
 are rounded to six digits.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +14,7 @@ from ..config import CacheConfig, GraphConfig, PqConfig, SearchConfig
 from ..functions import bloom, vectors as V
 from ..operators import cache, exact, graph, metrics, quantize, search, writelog
 from ..sources import generate
+from ..sources.scratch import scratch_dir, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,11 +34,7 @@ def _base(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").withColumnRenamed("vec_id", "node_id")
 
 
-def _queries(base: DataFrame, n: int = 20) -> DataFrame:
-    return base.where(F.col("node_id") < n).select(F.col("node_id").alias("query_id"), "embedding")
-
-
-def _asked(base: DataFrame) -> DataFrame:
+def _queries(base: DataFrame) -> DataFrame:
     return base.where(F.col("node_id") % 100 == 0).select(F.col("node_id").alias("query_id"), "embedding")
 
 
@@ -55,7 +48,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BASE = "base AS (SELECT vec_id AS node_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
-_Q = "q AS (SELECT node_id AS query_id, v AS qv FROM base WHERE node_id < 20)"
+_Q = "q AS (SELECT node_id AS query_id, v AS qv FROM base WHERE node_id % 100 = 0)"
 
 
 def _knn(base: str = "base", k: int = 10, where: str = "true") -> str:
@@ -84,13 +77,13 @@ def _scaled_pairs(spark, d, metric):
     v = base.select("node_id", F.transform("embedding", lambda x: (x.cast("double") * (1 + F.col("node_id") % 7)).cast("float")).alias("embedding"))
     zero = spark.range(1).select(F.lit(-1).cast("long").alias("node_id"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("embedding"))
     v = v.unionByName(zero)
-    q = F.broadcast(v.where("node_id < 5").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q")))  # six rows
+    q = v.where("node_id % 100 = 0 or node_id = -1").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("q"))
     return v.crossJoin(q).select("query_id", "node_id", (F.round(V.METRICS[metric]("embedding", "q"), 5) + 0.0).alias("distance"))
 
 
 _SCALED = """WITH s AS (SELECT vec_id AS node_id, list_transform(embedding, lambda x: CAST(CAST(CAST(x AS DOUBLE) * (1 + vec_id % 7) AS FLOAT) AS DOUBLE)) AS v FROM embeddings
   UNION ALL SELECT -1, list_transform(range(64), lambda x: CAST(0 AS DOUBLE)))
-  SELECT q.node_id AS query_id, s.node_id, round({}, 5) + 0.0 AS distance FROM s, s q WHERE q.node_id < 5"""
+  SELECT q.node_id AS query_id, s.node_id, round({}, 5) + 0.0 AS distance FROM s, s q WHERE q.node_id % 100 = 0 OR q.node_id = -1"""
 
 
 @_query(_SCALED.format("list_distance(s.v, q.v)"))
@@ -199,7 +192,7 @@ SELECT query_id, count(*) AS kept, round(max(adc), 5) AS farthest FROM r JOIN w
 def adc_threshold_filter(spark, d):
     base, book, codes = _fixed(spark, d)
     q = _queries(base)
-    adc = quantize.adc_top(codes, quantize.distance_tables(q, book), 1 << 30)
+    adc = quantize.adc_scores(codes, quantize.distance_tables(q, book))
     both = adc.join(base.select("node_id", "embedding"), "node_id").join(q.withColumnRenamed("embedding", "q"), "query_id")
     both = both.select("query_id", "node_id", F.round("adc", 9).alias("adc"), F.round(V.l2_squared("embedding", "q"), 9).alias("d2"))
     return quantize.adc_threshold(both, 10, 1.2).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.max("adc"), 5).alias("farthest"))
@@ -208,8 +201,8 @@ def adc_threshold_filter(spark, d):
 @_query()
 def pq_trained_search(spark, d):
     base = _base(spark, d)
-    book = quantize.train_codebook(base, PqConfig(8, 64, 15))
-    return _round(quantize.pq_search(base, quantize.encode(base, book), book, _asked(base), 10, 100), "distance")
+    book = quantize.train_codebook(base, PqConfig(16, 64, 15))
+    return _round(quantize.pq_search(base, quantize.encode(base, book), book, _queries(base), 10, 200), "distance")
 
 
 # ----------------------------------------------------------------- graph
@@ -262,65 +255,136 @@ def graph_compact(spark, d):
     return graph.compact(_knn_nodes(spark, d), 4).select("node_id", F.concat_ws(",", F.col("neighbors").cast("array<string>")).alias("neighbors"))
 
 
-def _shape(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node_id", F.size("neighbors").alias("degree"))
+def _listed(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node_id", F.concat_ws(",", F.col("neighbors").cast("array<string>")).alias("neighbors"))
 
 
 @_query()
 def graph_build(spark, d):
-    return _shape(graph.build_graph(_base(spark, d), GraphConfig(candidates=60)))
+    return _listed(graph.build_graph(_base(spark, d), GraphConfig(candidates=60)))
+
+
+def _contract(nodes: DataFrame, base: DataFrame, most: int, recall: bool = True) -> DataFrame:
+    """The graph's contract as one row; with ``recall``, whether beams over it find 90 % of
+    the ten nearest of the queries."""
+    folder = scratch_dir(base.sparkSession, "graph")
+    nodes = written(nodes, folder)
+    report = graph.graph_report(nodes, base, most).select("nodes", "missing", "over", "selfs", "repeated", "unknown")
+    if not recall:
+        return report
+    q = _queries(base)
+    found = search.beam_search(base, nodes, q, SearchConfig(10, 50))
+    return report.crossJoin(metrics.recall_micro(found, exact.exact_knn(base, q, 10), 10).select((F.col("recall") >= 0.9).alias("recall_holds")))  # one row each
+
+
+_CONTRACT = "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS selfs, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unknown{} FROM embeddings"
+
+
+@_query(_CONTRACT.format(", true AS recall_holds"))
+def graph_build_contract(spark, d):
+    base = _base(spark, d)
+    return _contract(graph.build_graph(base, GraphConfig(candidates=60)), base, 16)
 
 
 @_query()
 def random_graph(spark, d):
-    return _shape(graph.random_graph(_base(spark, d), 8))
+    return _listed(graph.random_graph(_base(spark, d), 8))
 
 
-@_query()
-def robust_prune(spark, d):
+@_query(_CONTRACT.format(""))
+def random_graph_contract(spark, d):
+    base = _base(spark, d)
+    return _contract(graph.random_graph(base, 8), base, 8, False)
+
+
+def _prune_sql(bad: str, fill: bool) -> str:
+    """The greedy choice among ten neighbours in order, at most six, as a recursion over their ranks."""
+    rest = "list_concat(keep, rest[1:6 - len(keep)])" if fill else "keep"
+    return f"""WITH RECURSIVE {_GRAPH}, c AS (SELECT src, dst, rk, distance * distance AS d2, v FROM knn JOIN base ON dst = node_id),
+x AS (SELECT a.src, a.rk AS i, list(list_distance(a.v, b.v) * list_distance(a.v, b.v) ORDER BY b.rk) AS row FROM c a JOIN c b ON a.src = b.src GROUP BY a.src, a.rk),
+m AS (SELECT src, list(row ORDER BY i) AS cr FROM x GROUP BY src),
+n AS (SELECT src, list(d2 ORDER BY rk) AS d, list(dst ORDER BY rk) AS ids, cr FROM c JOIN m USING (src) GROUP BY src, cr),
+g AS (SELECT src, CAST(1 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS keep, CAST([] AS BIGINT[]) AS rest FROM n UNION ALL
+  SELECT src, i + 1, CASE WHEN full_up OR bad THEN keep ELSE list_append(keep, i) END, CASE WHEN bad AND NOT full_up THEN list_append(rest, i) ELSE rest END
+  FROM (SELECT g.src, i, keep, rest, len(keep) >= 6 AS full_up, len(list_filter(keep, lambda s: {bad})) > 0 AS bad FROM g JOIN n USING (src) WHERE i <= len(ids))),
+z AS (SELECT src, ids, {rest} AS p FROM g JOIN n USING (src) WHERE i = len(ids) + 1)
+SELECT src AS node_id, array_to_string(list_transform(p, lambda j: ids[j]), ',') AS neighbors FROM z"""
+
+
+def _pruned(spark, d, rule):
     base = _base(spark, d)
     pairs = graph.edges(_knn_nodes(spark, d))
-    return _shape(graph.robust_prune(graph._with_vectors(pairs, base), GraphConfig(max_degree=6)))
+    return _listed(graph.robust_prune(graph._with_vectors(pairs, base), GraphConfig(max_degree=6, rule=rule)))
+
+
+@_query(_prune_sql("1.2 * cr[i][s] <= d[i]", True))
+def robust_prune(spark, d):
+    return _pruned(spark, d, "fill")
+
+
+@_query(_prune_sql("1.2 * cr[i][s] < d[i]", False))
+def prune_strict(spark, d):
+    return _pruned(spark, d, "strict")
+
+
+@_query(_prune_sql("sqrt(cr[i][s]) < 1.2 * sqrt(d[i])", False))
+def prune_by_distance(spark, d):
+    return _pruned(spark, d, "distance")
 
 
 @_query()
 def beam_search(spark, d):
     base = _base(spark, d)
-    return _round(search.beam_search(base, _knn_nodes(spark, d), _asked(base), SearchConfig(10, 50)), "distance")
+    return _round(search.beam_search(base, _knn_nodes(spark, d), _queries(base), SearchConfig(10, 50)), "distance")
 
 
 @_query()
 def beam_search_pq(spark, d):
     base, book, codes = _fixed(spark, d)
-    return _round(search.beam_search(base, _knn_nodes(spark, d), _asked(base), SearchConfig(10, 50), codes=codes, codebook=book), "distance")
+    return _round(search.beam_search(base, _knn_nodes(spark, d), _queries(base), SearchConfig(10, 50), codes=codes, codebook=book), "distance")
 
 
 @_query()
 def beam_search_sharded(spark, d):
     base = _base(spark, d)
-    return _round(search.beam_search(base, _knn_nodes(spark, d), _asked(base), SearchConfig(10, 50), shards=4), "distance")
+    return _round(search.beam_search(base, _knn_nodes(spark, d), _queries(base), SearchConfig(10, 50), shards=4), "distance")
 
 
-@_query()
-def incremental_insert(spark, d):
+def _inserted(spark, d) -> DataFrame:
     base = _base(spark, d)
     old, new = base.where("node_id % 10 <> 0"), base.where("node_id % 10 = 0")
-    nodes = graph.build_graph(old, GraphConfig(candidates=40))
-    return _shape(graph.insert_nodes(nodes, old, new, GraphConfig(candidates=40)))
+    nodes = written(graph.build_graph(old, GraphConfig(candidates=40)), scratch_dir(spark, "graph"))
+    return graph.insert_nodes(nodes, old, new, GraphConfig(candidates=40))
+
+
+@_query()
+def incremental_insert(spark, d):
+    return _listed(_inserted(spark, d))
+
+
+@_query(_CONTRACT.format(", true AS recall_holds"))
+def incremental_insert_contract(spark, d):
+    return _contract(_inserted(spark, d), _base(spark, d), 16)
 
 
 @_query()
 def search_with_delta(spark, d):
     base = _base(spark, d)
     old, new = base.where("node_id % 5 <> 0"), base.where("node_id % 5 = 0")
-    return _round(search.search_with_delta(old, graph.build_graph(old, GraphConfig(candidates=40)), new, _asked(base), SearchConfig(10, 50)), "distance")
+    return _round(search.search_with_delta(old, graph.build_graph(old, GraphConfig(candidates=40)), new, _queries(base), SearchConfig(10, 50)), "distance")
 
 
-@_query()
+@_query(f"""WITH {_PQ}, {_GRAPH.removeprefix(_BASE + ", ")}, s AS (SELECT node_id, string_agg(CAST(code AS VARCHAR), ' ' ORDER BY sub) AS code FROM codes GROUP BY node_id)
+SELECT src AS node_id, round(any_value(v[1]), 6) AS first, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY rk) AS neighbors, string_agg(s.code, ',' ORDER BY rk) AS codes
+FROM knn JOIN s ON dst = s.node_id JOIN base ON src = base.node_id GROUP BY src""")
 def disk_index(spark, d):
+    """Records written, read back by id and unpacked."""
     base, _, codes = _fixed(spark, d)
-    rows = graph.disk_index(base, _knn_nodes(spark, d), codes)
-    return rows.select("node_id", F.size("neighbors").alias("n"), F.size("neighbor_codes").alias("c"))
+    records = written(graph.disk_index(base, _knn_nodes(spark, d), codes), scratch_dir(spark, "records"))
+    ids = base.select(F.col("node_id").alias("pos"), "node_id")
+    read = graph.read_records(ids, records)
+    code = F.transform("neighbor_codes", lambda c: F.array_join(c.cast("array<string>"), " "))
+    return read.select("node_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"), F.array_join(code, ",").alias("codes"))
 
 
 @_query(f"WITH {_BASE}, {_Q} SELECT query_id, CAST(rk AS INTEGER) AS rk, node_id, round(distance, 6) AS distance FROM {_knn()}")
@@ -356,16 +420,37 @@ def recall_macro(spark, d):
     return _recall(spark, d, metrics.recall_macro)
 
 
+_SEARCHES = ("beam_search", "beam_search_pq", "beam_search_sharded", "pq_trained_search", "search_with_delta")
+
+
+@_query(f"SELECT m AS method, count(*) AS queries, count(*) * 10 AS found, true AS recall_holds FROM embeddings, (SELECT unnest({list(_SEARCHES)}) AS m) WHERE vec_id % 100 = 0 GROUP BY m")
+def search_recall(spark, d):
+    """Whether each approximate search finds 90 % of the ten nearest of all queries."""
+    base = _base(spark, d)
+    truth, out = exact.exact_knn(base, _queries(base), 10), None
+    for name in _SEARCHES:
+        found = written(QUERIES[name](spark, d), scratch_dir(spark, name))
+        row = found.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"))
+        row = row.crossJoin(metrics.recall_micro(found, truth, 10)).select(F.lit(name).alias("method"), "queries", "found", (F.col("recall") >= 0.9).alias("recall_holds"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @_query("WITH s AS (SELECT list(value ORDER BY value) AS l FROM events WHERE value IS NOT NULL) SELECT CAST(len(l) AS BIGINT) AS n, " + ", ".join(f"l[least(CAST(floor(len(l) * {p} / 100) AS BIGINT), len(l) - 1) + 1] AS p{str(p).replace('.', '_')}" for p in (50, 95, 99, 99.9)) + " FROM s")
 def latency_percentiles(spark, d):
     return metrics.percentiles(spark.read.parquet(f"{d}/events.parquet"), "value", [50, 95, 99, 99.9])
 
 
-@_query("SELECT count(*) AS n, count(*) * 8 AS codes, 16 * 64 * 4 AS codebook, count(*) * 129 AS graph, count(*) * 64 * 4 AS vectors, round((count(*) * 8 + 4096 + count(*) * 129) / (count(*) * 256.0), 6) AS ratio FROM embeddings")
+@_query("""WITH n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT n, n * 8 AS codes, 16 * 64 * 4 AS codebook, n * 129 AS graph, CAST(ceil(n / 8.0) AS BIGINT) AS visited, n * 256 AS vectors FROM n),
+f AS (SELECT *, codes + codebook + graph + visited AS fixed FROM p),
+c AS (SELECT *, greatest(20, least(greatest(0, CAST(floor(vectors * 0.2) AS BIGINT) - fixed) // 4096, n // 10)) * 4096 AS cache FROM f)
+SELECT n, codes, codebook, graph, visited, cache, fixed + cache AS total, vectors, round((fixed + cache) / CAST(vectors AS DOUBLE), 6) AS ratio FROM c""")
 def memory_report(spark, d):
-    n = _base(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    codes, book, g, raw = F.col("n") * 8, F.lit(4096), F.col("n") * 129, F.col("n") * 256
-    return n.select("n", codes.alias("codes"), book.alias("codebook"), g.alias("graph"), raw.alias("vectors"), F.round((codes + book + g) / raw.cast("double"), 6).alias("ratio"))
+    n = _base(spark, d).count()
+    fixed = metrics.memory_report(n, 64, 16, 8, 16, 0)["total"]
+    report = {"n": n} | metrics.memory_report(n, 64, 16, 8, 16, metrics.cache_pages(n, 64, int(fixed)))
+    row = [int(v) if k != "ratio" else round(float(v), 6) for k, v in report.items()]
+    return spark.createDataFrame([tuple(row)], ", ".join(f"{k} {'double' if k == 'ratio' else 'long'}" for k in report))
 
 
 # ------------------------------------------------------------- write log
@@ -444,8 +529,7 @@ def streamed_latest_wins(spark, d):
     """The log written by a stream of micro-batches; its view equals the batch one."""
     from ..streaming.ingest import ingest
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch_dir(spark, "stream")
     rows = _log(spark, d).select("node_id", F.array(F.col("value").cast("float")).alias("embedding"), "ts", "seq", "is_deleted")
     rows.repartition(4, "seq").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(writelog.LOG).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
@@ -469,11 +553,13 @@ def cache_stats(spark, d):
     return cache.queue_stats(cache.simulate(t, CacheConfig(capacity=40), "event_type"))
 
 
-@_query()
+@_query("""WITH h AS (SELECT doc_id, text IS NULL AS none, string_split(substr(hex(encode(coalesce(text, ''))), 1, 8184), '') AS c FROM documents),
+b AS (SELECT doc_id, none, list_transform(range(1, len(c) // 2 + 1), lambda i: 16 * (instr('0123456789ABCDEF', c[2 * i - 1]) - 1) + instr('0123456789ABCDEF', c[2 * i]) - 1) AS b FROM h)
+SELECT doc_id, CASE WHEN none THEN NULL ELSE CAST(256 * (coalesce(list_sum(list_transform(range(1, len(b) + 1), lambda i: (4093 - i) * b[i])), 0) % 255) + coalesce(list_sum(b), 0) % 255 AS INTEGER) END AS checksum FROM b""")
 def page_checksum(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    page = F.concat_ws(",", F.col("embedding").cast("array<string>")).cast("binary")
-    return rows.select("vec_id", bloom.page_checksum(page).alias("checksum"))
+    """Checksums of pages that hold the bytes of texts."""
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    return rows.select("doc_id", bloom.page_checksum(F.col("text").cast("binary")).alias("checksum"))
 
 
 @_query()

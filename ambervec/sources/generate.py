@@ -93,6 +93,14 @@ def perturbed_queries(base: DataFrame, queries: int, dimension: int, std: float
     return rows.join(noise, "query_id").select("query_id", F.zip_with("v", "embedding", lambda x, y: (x + y).cast("float")).alias("embedding"))
 
 
+def queries_with_truth(base: DataFrame, queries: int, dimension: int, k: int = 10, std: float = 0.01, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Perturbed base rows as queries, and their exact ground truth (query_id, rk, node_id, distance)."""
+    from ..operators.exact import exact_knn
+
+    q = perturbed_queries(base, queries, dimension, std, seed)
+    return q, exact_knn(base, q, k)
+
+
 def file_or_synthetic(spark: SparkSession, path: str | None, n: int, dimension: int = 128, seed: int = 42) -> DataFrame:
     """The file's vectors, or the benchmark's distribution where there is no such file."""
     from .vecs import read_or_empty

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import InvalidArgument, ReadError
+from .files import _fs
 
 MAX_DIMENSION = 10_000
 RECORDS_PER_TASK = 200_000
@@ -132,16 +133,88 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(IvecsSource)
 
 
+def _in_store(path: str) -> bool:
+    """Whether a path names a store that only Hadoop's file systems reach."""
+    return "://" in path and not path.startswith("file://")
+
+
 def read_fvecs(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    """(node_id, embedding) of a file that every machine sees at this path, or of one in
+    any store that Spark reads (``scheme://...``)."""
+    if _in_store(path):
+        return read_by_hadoop(spark, path, limit)
     register(spark)
     return spark.read.format("fvecs").option("limit", limit).load(path)
 
 
 def read_ivecs(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+    if _in_store(path):
+        return read_by_hadoop(spark, path, limit, True)
     register(spark)
     return spark.read.format("ivecs").option("limit", limit).load(path)
 
 
+def read_by_hadoop(spark: SparkSession, path: str, limit: int = 0, integers: bool = False) -> DataFrame:
+    """The records through Hadoop's file systems: those of one size in splits, as
+    fixed-length records with their numbers; a file of integer lists (ground truth) as
+    a whole, since its sizes may differ."""
+    name, kind = ("ids", "<i4") if integers else ("embedding", "<f4")
+    schema = f"node_id long, {name} array<{'int' if integers else 'float'}>"
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        raise ReadError(f"cannot read {path}: no such file")
+    total = fs.getFileStatus(p).getLen()
+    if not total:
+        return spark.createDataFrame([], schema)
+    if integers:
+        whole = spark.read.format("binaryFile").load(path).select("content")
+        rows = whole.mapInArrow(lambda batches: (r for b in batches for c in b.column("content") for r in _records(c.as_py(), path)), schema)
+        return rows.where(F.col("node_id") < limit) if limit else rows
+    if total < 4:
+        raise InvalidArgument(f"{path}: truncated header")
+    stream = fs.open(p)
+    try:
+        size = spark.sparkContext._jvm.java.lang.Integer.reverseBytes(stream.readInt())
+    finally:
+        stream.close()
+    if not 1 <= size <= MAX_DIMENSION:
+        raise InvalidArgument(f"{path}: dimension {size} is not in 1..{MAX_DIMENSION}")
+    record = 4 + 4 * size
+    if total % record:
+        raise InvalidArgument(f"{path}: its size is no multiple of its record size")
+    read = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record)},
+    )
+
+    def decode(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(b.column("raw").to_pylist()), "<i4").reshape(b.num_rows, size + 1)
+            if (raw[:, 0] != size).any():
+                raise InvalidArgument(f"{path}: records of different dimension")
+            values = np.ascontiguousarray(raw[:, 1:]).view(kind).ravel()
+            yield pa.RecordBatch.from_arrays([b.column("node_id"), pa.ListArray.from_arrays(np.arange(0, len(values) + 1, size, dtype=np.int32), pa.array(values))], ["node_id", name])
+
+    rows = spark.createDataFrame(read, "node_id long, raw binary")
+    return (rows.where(F.col("node_id") < limit) if limit else rows).mapInArrow(decode, schema)
+
+
+def _records(raw: bytes, path: str) -> Iterator[pa.RecordBatch]:
+    at, out = 0, []
+    while at < len(raw):
+        n = int(np.frombuffer(raw, "<i4", 1, at)[0]) if at + 4 <= len(raw) else -1
+        if n < 0 or at + 4 + 4 * n > len(raw):
+            raise InvalidArgument(f"{path}: truncated record {len(out)}")
+        out.append(np.frombuffer(raw, "<i4", n, at + 4))
+        at += 4 + 4 * n
+    for lo in range(0, len(out), 10_000):
+        part = out[lo : lo + 10_000]
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32), pa.array(np.concatenate(part)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), lists], ["node_id", "ids"])
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, rk, node_id) with ranks from 1."""
     rows = read_ivecs(spark, path).select(F.col("node_id").alias("query_id"), F.posexplode("ids").alias("pos", "id"))
@@ -159,15 +232,22 @@ def read_or_empty(spark: SparkSession, path: str, kind: str = "fvecs", limit: in
     """The file's rows; none if it is missing or broken."""
     source = (FvecsSource if kind == "fvecs" else IvecsSource)({"path": path})
     try:
-        _VecsReader(path, limit, kind == "ivecs").partitions()
+        if not _in_store(path):
+            _VecsReader(path, limit, kind == "ivecs").partitions()
+        return read_fvecs(spark, path, limit) if kind == "fvecs" else read_ivecs(spark, path, limit)
     except (ReadError, InvalidArgument):
         return spark.createDataFrame([], source.schema())
-    return read_fvecs(spark, path, limit) if kind == "fvecs" else read_ivecs(spark, path, limit)
 
 
-def write_vecs(rows, path: str, integers: bool = False) -> None:
-    """Write a small list of vectors (for tests and exports of results)."""
+def write_vecs(rows, path: str, integers: bool = False, spark: SparkSession | None = None) -> None:
+    """Write a small list of vectors (for tests and exports of results); with a session, to
+    any store that Spark writes."""
+    body = b"".join(np.int32(len(x)).tobytes() + x.tobytes() for x in (np.asarray(r, "<i4" if integers else "<f4") for r in rows))
+    if spark is not None and _in_store(path):
+        fs, p = _fs(spark, path)
+        stream = fs.create(p, True)
+        stream.write(body)
+        stream.close()
+        return
     with open(_local(path), "wb") as f:
-        for r in rows:
-            x = np.asarray(r, "<i4" if integers else "<f4")
-            f.write(np.int32(len(x)).tobytes() + x.tobytes())
+        f.write(body)

@@ -285,6 +285,47 @@ def test_log_table_and_stream(spark, tmp_path):
     assert {r.node_id: r.seq for r in log.view().collect()} == want and log.manifest().count() <= before
 
 
+def test_compactions_and_batches_never_share_a_segment(spark, tmp_path):
+    """Two compactions in a row, then another batch: no row is overwritten."""
+    import datetime as dt
+
+    log = writelog.LogTable(spark, f"{tmp_path}/log", LogConfig(tables_to_compact=2, most_tables=2))
+    t0 = dt.datetime(2024, 1, 1)
+    for batch in range(8):
+        log.append(spark.createDataFrame([(batch, [1.0], t0, batch, False)], LOG), batch * 2)
+        if batch in (3, 5):
+            made = [log.compact(), log.compact()]
+            assert all(m is None or m % 2 for m in made) and made[0] is not None
+    assert {r.node_id for r in log.view().collect()} == set(range(8))
+    assert log.next_id() % 2 == 0 and log.next_id(True) % 2 == 1
+    one = log.manifest().first().segment_id
+    assert log.drop(one) and not log.drop(one) and one not in {r.segment_id for r in log.manifest().collect()}
+
+
+def test_compactor(spark, tmp_path):
+    import datetime as dt
+    import time
+
+    log = writelog.LogTable(spark, f"{tmp_path}/log", LogConfig(tables_to_compact=2, most_tables=4))
+    rows = lambda k: spark.createDataFrame([(k, [float(k)], dt.datetime(2024, 1, 1), k, False)], LOG)
+    for k in range(3):
+        log.append(rows(k), k * 2)
+    made: list[int] = []
+    c = writelog.Compactor(log, every_s=0.05, on_done=made.append, bytes_per_s=1e9)
+    assert c.pending() == 3 and not c.running
+    c.pause()
+    c.start()
+    time.sleep(0.3)
+    assert c.running and c.paused and not made
+    c.resume()
+    until = time.time() + 60
+    while not made and time.time() < until:
+        time.sleep(0.1)
+    c.stop()
+    assert not c.running and c.error is None and c.done == len(made) >= 1 and c.pending() == 0
+    assert {r.node_id for r in log.view().collect()} == {0, 1, 2}
+
+
 def test_cache_policy(spark):
     c = cache.TwoQueueCache(CacheConfig(10, 0.3, hub_threshold=50), {0: 100, 1: 2, 2: 1, 3: 1, 4: 1})
     for p in range(10):
@@ -417,4 +458,75 @@ def test_every_query_runs_and_has_stable_columns(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows = entry.entry(spark).collect()
-    assert len(rows) == 200
+    asked_for = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 100 = 0").count()
+    assert len(rows) == 10 * asked_for
+
+
+def test_store_files(spark, tmp_path):
+    """Vector files through Hadoop's file systems, by a path that plain open() can't read."""
+    x = np.random.default_rng(2).normal(size=(40, 5)).astype(np.float32)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./d", f"file://{tmp_path}")
+    path = "viewfs://store/d"
+    vecs.write_vecs(x, f"{path}/a.fvecs", spark=spark)
+    got = vecs.read_fvecs(spark, f"{path}/a.fvecs").orderBy("node_id").collect()
+    assert np.allclose([r.embedding for r in got], x) and [r.node_id for r in got] == list(range(40))
+    assert vecs.read_fvecs(spark, f"{path}/a.fvecs", 7).count() == 7
+    vecs.write_vecs([[1, 2], [3], []], f"{path}/t.ivecs", True, spark)
+    assert [r.ids for r in vecs.read_ivecs(spark, f"{path}/t.ivecs").orderBy("node_id").collect()] == [[1, 2], [3], []]
+    assert vecs.read_ground_truth(spark, f"{path}/t.ivecs").count() == 3
+    (tmp_path / "bad.fvecs").write_bytes(np.int32(99999).tobytes() + b"1234")
+    for name in ("bad.fvecs", "none.fvecs"):
+        assert vecs.read_or_empty(spark, f"{path}/{name}").count() == 0
+    with pytest.raises(InvalidArgument):
+        vecs.read_fvecs(spark, f"{path}/bad.fvecs")
+
+
+def test_records_and_report(spark, data):
+    base = table(spark, data)
+    nodes = graph.build_graph(base, GraphConfig(max_degree=8, candidates=30)).cache()
+    codes = quantize.encode(base, quantize.train_codebook(base, PqConfig(4, 8, 5))).cache()
+    by_id, links = ({r.node_id: list(r[1]) for r in df.collect()} for df in (codes, nodes))
+    records = graph.disk_index(base, nodes, codes)
+    ids = spark.createDataFrame([(0, 3), (1, 999), (2, 7)], "pos long, node_id long")
+    got = graph.read_records(ids, records).orderBy("pos").collect()
+    assert [r.found for r in got] == [True, False, True] and got[0].neighbors == links[3] and got[0].embedding == pytest.approx(data[3].tolist())
+    flat = graph.unpack_record(records.where("node_id in (3, 7)")).collect()
+    assert {(r.node_id, r.pos, r.neighbor, tuple(r.code)) for r in flat} == {(i, p, n, tuple(by_id[n])) for i in (3, 7) for p, n in enumerate(links[i])}
+    ok = graph.graph_report(nodes, base, 8).first()
+    assert (ok.nodes, ok.missing, ok.over, ok.selfs, ok.repeated, ok.unknown) == (150, 0, 0, 0, 0, 0) and ok.unreached <= 2
+    bad = spark.createDataFrame([(0, [0, 1, 1]), (1, [0, 999])], graph.NODES)
+    r = graph.graph_report(bad, base.where("node_id < 4"), 2, 0).first()
+    assert tuple(r) == (2, 2, 1, 1, 1, 1, 2)
+
+
+def test_encode_takes_the_first_of_equal_codes(spark):
+    book = spark.createDataFrame([(0, 0, [1.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [0.0, 1.0])], quantize.CODEBOOK)
+    base = table(spark, [[1, 0], [0, 1], [0.5, 0.5], [0.2, 0.9]])
+    assert [list(r.codes) for r in quantize.encode(base, book).orderBy("node_id").collect()] == [[0], [2], [0], [2]]
+
+
+def test_adc_in_blocks_of_queries(spark, data, monkeypatch):
+    base = table(spark, data)
+    book = quantize.train_codebook(base, PqConfig(4, 8, 5))
+    codes, tables = quantize.encode(base, book), quantize.distance_tables(asked(base.limit(30)), book)
+    few = {tuple(r) for r in quantize.adc_top(codes, tables, 7).collect()}
+    monkeypatch.setattr(quantize, "TABLE_BYTES", 1000)
+    assert few == {tuple(r) for r in quantize.adc_top(codes, tables, 7).collect()} and len(few) == 210
+    assert quantize.adc_top(codes, tables.limit(0), 7).count() == quantize.adc_top(codes.limit(0), tables, 7).count() == 0
+
+
+def test_cache_calls():
+    c = cache.TwoQueueCache(CacheConfig(4, 0.5))
+    assert c.prefetch([1, 2, 2, 3]) == [1, 2, 3] and c.hits == c.misses == 0
+    assert c.load_and_pin(1) == (True, None) and not c.evict(1) and not c.evict(9)
+    assert c.unpin(1) and c.evict(1) and 1 not in c
+    assert c.load_and_pin(5) == (False, None) and c.evict_one() in (2, 3)
+    for p in list(c.hot) + list(c.warm):
+        c.pin(p)
+    assert c.prefetch([7, 8, 9, 10]) == [7, 8] or len(c) == 4
+
+
+def test_queries_with_truth(spark):
+    base = generate.random_vectors(spark, 80, 6)
+    q, truth = generate.queries_with_truth(base, 9, 6, 3)
+    assert q.count() == 9 and truth.count() == 27 and truth.where("rk = 1 and distance < 0.2").count() == 9
