@@ -46,9 +46,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     engine.load()
     if a.command == "insert":
-        rows = vecs.read_fvecs(spark, a.vectors).collect()
-        print(json.dumps([engine.insert(list(r.embedding)).node_id for r in rows]))
-        engine.flush()
+        first = engine._next_id()
+        rows = vecs.read_fvecs(spark, a.vectors)
+        engine.insert_frame(rows.withColumn("node_id", F.col("node_id") + first))
+        print(json.dumps({"first_id": first, "inserted": rows.count()}))
         return 0
     queries = vecs.read_fvecs(spark, a.queries).withColumnRenamed("node_id", "query_id")
     found = engine.search_frame(queries, a.k, a.ef)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass
 
@@ -52,6 +53,7 @@ class VectorEngine:
         self._book: DataFrame | None = None
         self._log: writelog.LogTable | None = None
         self._pending: list[tuple] = []
+        self._lock = threading.RLock()  # writers and readers may be threads
         self._samples: list[tuple[int, float]] = []
 
     # lifecycle
@@ -123,20 +125,35 @@ class VectorEngine:
 
     # writing
     def insert(self, vector: list[float]) -> InsertResult:
-        return self.insert_with_id(self._next_id(), vector)
+        with self._lock:
+            return self.insert_with_id(self._next_id(), vector)
+
+    def insert_frame(self, rows: DataFrame) -> None:
+        """Write a table (node_id, embedding) as one segment, where its rows lie."""
+        self._ready()
+        if not metrics.validate_dataset(rows).first().valid:
+            raise InvalidArgument("vectors of different size or with values that aren't finite")
+        with self._lock:
+            self.flush()
+            last = self._log.rows().agg(F.max("seq")).first()[0]
+            seq = F.monotonically_increasing_id() + (0 if last is None else last + 1)
+            out = rows.select("node_id", F.col("embedding").cast("array<float>").alias("embedding"), F.current_timestamp().alias("ts"), seq.alias("seq"), F.lit(False).alias("is_deleted"))
+            self._log.append(out, self._log.next_id())
 
     def insert_with_id(self, node_id: int, vector: list[float]) -> InsertResult:
         self._ready()
         if not vector or any(x != x or abs(x) == float("inf") for x in vector):
             return InsertResult(False, None, ErrorCode.INVALID_ARGUMENT)
-        self._pending.append((node_id, [float(x) for x in vector], False))
-        self._rotate()
+        with self._lock:
+            self._pending.append((node_id, [float(x) for x in vector], False))
+            self._rotate()
         return InsertResult(True, node_id)
 
     def delete_vector(self, node_id: int) -> None:
         self._ready()
-        self._pending.append((node_id, None, True))
-        self._rotate()
+        with self._lock:
+            self._pending.append((node_id, None, True))
+            self._rotate()
 
     def _rotate(self) -> None:
         if len(self._pending) >= self.config.log.rows_per_segment:
@@ -150,14 +167,15 @@ class VectorEngine:
     def flush(self) -> None:
         """Write pending rows as one segment; their sequence numbers follow those of the log."""
         self._ready()
-        if not self._pending:
-            return
-        last = self._log.rows().agg(F.max("seq")).first()[0]
-        first = 0 if last is None else last + 1
-        rows = self.spark.createDataFrame([(i, v, first + k, d) for k, (i, v, d) in enumerate(self._pending)], "node_id long, embedding array<float>, seq long, is_deleted boolean")
-        rows = rows.withColumn("ts", F.current_timestamp()).select("node_id", "embedding", "ts", "seq", "is_deleted")
-        self._log.append(rows, self._log.next_id())
-        self._pending = []
+        with self._lock:
+            if not self._pending:
+                return
+            last = self._log.rows().agg(F.max("seq")).first()[0]
+            first = 0 if last is None else last + 1
+            rows = self.spark.createDataFrame([(i, v, first + k, d) for k, (i, v, d) in enumerate(self._pending)], "node_id long, embedding array<float>, seq long, is_deleted boolean")
+            rows = rows.withColumn("ts", F.current_timestamp()).select("node_id", "embedding", "ts", "seq", "is_deleted")
+            self._log.append(rows, self._log.next_id())
+            self._pending = []
 
     def compact(self) -> int | None:
         self.flush()
@@ -200,6 +218,15 @@ class VectorEngine:
             out[r.query_id].append(SearchResult(r.node_id, r.distance))
         return out
 
+    def read_record(self, node_id: int) -> dict:
+        """What `save` stored for a base row: its vector, neighbours and their codes."""
+        self._ready()
+        records = self.spark.read.parquet(f"{self.path}/records").where(F.col("node_id") == node_id)
+        row = records.first()
+        if row is None:
+            raise NodeNotFound(node_id)
+        return row.asDict()
+
     def get_vector(self, node_id: int) -> list[float]:
         row = exact.get_vector(self.vectors(), node_id).first()
         if row is None:
@@ -237,7 +264,8 @@ def create_sift1m_engine(spark: SparkSession, path: str) -> VectorEngine:
 
 def run_benchmark(spark: SparkSession, path: str, vectors: str | None = None, n: int = 2000, dimension: int = 64, queries: int = 100, k: int = 10, ef: int = 50, degree: int = 16, subspaces: int = 8, codes: int = 64, writes: int = 0) -> dict[str, float]:
     """Load or generate, build, search and report: recall, seconds, memory; with
-    ``writes``, also that many inserts that must be found afterwards."""
+    ``writes``, also a mixed load: a thread inserts that many vectors while batches of
+    queries go on, and all of them must be found afterwards."""
     config = EngineConfig(dimension, graph=GraphConfig(max_degree=degree), pq=PqConfig(subspaces=subspaces, codes=codes), search=SearchConfig(k, ef))
     engine = create_engine(spark, path, config)
     engine.load_dataset(generate.file_or_synthetic(spark, vectors, n, dimension))
@@ -255,13 +283,32 @@ def run_benchmark(spark: SparkSession, path: str, vectors: str | None = None, n:
     out["recall"] = metrics.recall_micro(found, truth, k).first()[0]
     out |= {f"memory_{a}": b for a, b in engine.get_memory_usage().items()}
     if writes:
-        fresh = [r.embedding for r in generate.random_vectors(spark, writes, dimension, seed=7).collect()]
-        began = time.perf_counter()
-        ids = [engine.insert(list(fresh[0])).node_id]
-        for i, v in enumerate(fresh[1:]):
-            ids.append(engine.insert_with_id(ids[0] + 1 + i, list(v)).node_id)
-        engine.flush()
-        out["writes_per_s"] = writes / (time.perf_counter() - began)
-        back = engine.batch_search([list(v) for v in fresh], 1)
-        out["read_back"] = sum(bool(r) and r[0].node_id == i for i, r in zip(ids, back)) / writes
+        fresh = [list(r.embedding) for r in generate.random_vectors(spark, writes, dimension, seed=7).collect()]
+        first, batch = engine._next_id(), [list(r.embedding) for r in q.limit(10).collect()]
+        took, failed = [], []
+
+        def write():
+            began = time.perf_counter()
+            try:
+                for i, v in enumerate(fresh):
+                    engine.insert_with_id(first + i, v)
+                    if (i + 1) % max(1, writes // 4) == 0:
+                        engine.flush()
+                engine.flush()
+            except Exception as e:
+                failed.append(e)
+            took.append(time.perf_counter() - began)
+
+        writer, searched, latencies = threading.Thread(target=write), 0, []
+        writer.start()
+        while writer.is_alive() or not searched:
+            began = time.perf_counter()
+            searched += len(engine.batch_search(batch, k))
+            latencies.append((time.perf_counter() - began) * 1000)
+        writer.join()
+        if failed:
+            raise failed[0]
+        out |= {"writes_per_s": writes / took[0], "searches_meanwhile": searched, "batch_ms": sum(latencies) / len(latencies), "batch_p99_ms": sorted(latencies)[min(len(latencies) * 99 // 100, len(latencies) - 1)]}
+        back = engine.batch_search(fresh, 1)
+        out["read_back"] = sum(bool(r) and r[0].node_id == first + i for i, r in enumerate(back)) / writes
     return out

@@ -200,9 +200,15 @@ def knn_graph(base: DataFrame, k: int) -> DataFrame:
     return found.where("query_id <> node_id").withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select(F.col("query_id").alias("src"), "rk", F.col("node_id").alias("dst"), "distance")
 
 
+PIVOT_BYTES = 64 << 20
+
+
 def _pivots(base: DataFrame, cells: int, seed: int) -> np.ndarray:
-    picked = base.select("node_id", "embedding").orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(min(cells, 4096)).collect()
-    return np.array([r.embedding for r in picked], np.float64)
+    """Vectors of ``cells`` rows, or as many as ``PIVOT_BYTES`` hold (131,072 of 64 dimensions)."""
+    width = base.select(F.max(F.size("embedding"))).first()[0] or 1
+    most = max(1, min(cells, PIVOT_BYTES // (8 * width)))
+    picked = base.select("node_id", "embedding").orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(most).toArrow().combine_chunks()
+    return matrix(picked.column("embedding").combine_chunks())
 
 
 def cell_overlap(base: DataFrame, k: int, cells: int, least: float = 0.95, sample: int = 200, seed: int = 42) -> int:
@@ -250,7 +256,7 @@ def near_candidates(base: DataFrame, config: GraphConfig, exact_rows: int, cell_
 def cell_knn(base: DataFrame, k: int, cells: int, overlap: int = 2, block: int = 2048, seed: int = 42) -> DataFrame:
     """(src, rk, dst, distance): near neighbours among rows of the same cells.
 
-    ``cells`` rows are pivots (at most 4,096 reach the driver); each row joins its
+    ``cells`` rows are pivots (at most 64 MB of them reach the driver); each row joins its
     ``overlap`` nearest ones. A cell is packed in blocks of ``block`` rows, so a dense
     cell is many pairs of blocks rather than one task.
     """

@@ -80,6 +80,10 @@ def book_array(codebook: DataFrame) -> np.ndarray:
 
 def matrix(lists) -> np.ndarray:
     """A column of equally long lists as (rows, size) numbers, without Python lists."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
+    if not len(lists):
+        return np.zeros((0, 1))
     sizes = lists.value_lengths().unique()
     if len(sizes) > 1 or lists.null_count:
         raise InvalidArgument("dimension mismatch")

@@ -530,3 +530,33 @@ def test_queries_with_truth(spark):
     base = generate.random_vectors(spark, 80, 6)
     q, truth = generate.queries_with_truth(base, 9, 6, 3)
     assert q.count() == 9 and truth.count() == 27 and truth.where("rk = 1 and distance < 0.2").count() == 9
+
+
+def test_benchmark_and_command_line(spark, tmp_path, capsys):
+    """Build, search, insert and verify by the command line; a mixed load of a writer and readers."""
+    import json
+
+    from ambervec.__main__ import main
+    from ambervec.engine import create_engine, run_benchmark
+
+    out = run_benchmark(spark, f"{tmp_path}/b", n=300, dimension=16, queries=20, subspaces=4, codes=16, writes=24)
+    assert out["recall"] >= 0.9 and out["read_back"] == 1 and out["searches_meanwhile"] >= 10 and out["writes_per_s"] > 0
+    x = np.random.default_rng(3).normal(size=(300, 16)).astype(np.float32)
+    vecs.write_vecs(x, f"{tmp_path}/a.fvecs")
+    vecs.write_vecs(x[:5] + 9, f"{tmp_path}/new.fvecs")
+    vecs.write_vecs(np.concatenate([x[10:12], x[:1] + 9]), f"{tmp_path}/q.fvecs")
+    index = ["--index", f"{tmp_path}/i"]
+    say = lambda *a: (main([*a]), capsys.readouterr().out)
+    assert say("build", *index, "--vectors", f"{tmp_path}/a.fvecs", "--codes", "16")[0] == 0
+    code, text = say("insert", *index, "--vectors", f"{tmp_path}/new.fvecs")
+    assert code == 0 and json.loads(text) == {"first_id": 300, "inserted": 5}
+    code, text = say("search", *index, "--queries", f"{tmp_path}/q.fvecs", "--k", "1")
+    assert code == 0 and text.split("\n")[:3] == ["0: 10", "1: 11", "2: 300"]
+    code, text = say("verify", *index, "--queries", f"{tmp_path}/q.fvecs")
+    assert code == 0 and json.loads(text)["pass"]
+    engine = create_engine(spark, f"{tmp_path}/i").load()
+    assert engine.read_record(7)["embedding"] == pytest.approx(x[7].tolist()) and engine.read_record(7)["neighbors"]
+    with pytest.raises(NodeNotFound):
+        engine.read_record(999)
+    with pytest.raises(InvalidArgument):
+        engine.insert_frame(table(spark, [[1.0], [float("nan")]]))
