@@ -114,8 +114,9 @@ def plan_packing(hist: dict[int, int], capacity: int, groups: int = 20, large: f
     not depend on the corpus.
 
     Lengths over ``large * capacity`` are dealt in falling order to groups of
-    equal cardinality and rounded up to their group's largest. Configurations
-    of these few sizes are optimised; then the actual lengths take the places of
+    equal cardinality and rounded up to their group's largest; a length that fills a
+    group alone is one and is not rounded, nor is any of at most ``2 * groups``
+    different lengths. Configurations of these few sizes are optimised; then the actual lengths take the places of
     the rounded ones, and all smaller pieces go, largest first, into the
     fullest sequences that still hold them (best fit).
     """
@@ -130,14 +131,21 @@ def plan_packing(hist: dict[int, int], capacity: int, groups: int = 20, large: f
         queue: list[list[list[int]]] = [[]]  # per group: [length, first rank, end rank]
         have = 0
         for n in big:
-            rank = 0
+            rank, alone = 0, hist[n] >= share or len(big) <= 2 * groups
+            if alone and have:
+                queue.append([])
+                have = 0
             while rank < hist[n]:
-                if have == share:
+                if have == share and not alone:
                     queue.append([])
                     have = 0
-                take = min(hist[n] - rank, share - have)
+                take = hist[n] - rank if alone else min(hist[n] - rank, share - have)
                 queue[-1].append([n, rank, rank + take])
                 rank, have = rank + take, have + take
+            if alone:
+                queue.append([])
+                have = 0
+        queue = [q for q in queue if q]
         sizes = [q[0][0] for q in queue]
         # groups that begin at the same length are one size
         merged: dict[int, list[list[int]]] = {}
