@@ -97,6 +97,36 @@ def _bound(step: str, d0: str, m: str) -> str:
     return re.sub(r"\bs\.", "u.", out)
 
 
+LONG = 1000  # characters from which lines lose what they have in common first
+
+
+def _common(a: str, b: str) -> str:
+    """SQL for the length of the common prefix: powers of two from the largest down, each
+    taken if that many more characters agree."""
+    n, step = f"least(char_length({a}), char_length({b}))", "shiftleft(1, g.k - i)"
+    same = f"u + {step} <= g.n AND substring({a}, u + 1, {step}) = substring({b}, u + 1, {step})"
+    limits = f"array(named_struct('n', {n}, 'k', int(log2(greatest({n}, 1)))))"
+    return f"element_at(transform({limits}, g -> aggregate(sequence(0, g.k), 0, (u, i) -> if({same}, u + {step}, u))), 1)"
+
+
+def near_sql(a: str, b: str, threshold: int) -> str:
+    """SQL that says whether two lines are within ``threshold`` edits.
+
+    The engine's own thresholded distance turns most candidates down cheaply, `within`
+    verifies. The former takes time in the square of the length, so long lines lose
+    their common ends first, which leaves the distance as it is; what is then still
+    long is verified alone.
+    """
+    short = f"(levenshtein({a}, {b}, {threshold}) >= 0 AND {within_sql(a, b, threshold)})"
+    # the band needs lines of more characters than the threshold
+    left = f"""CASE WHEN least(char_length(y.a), char_length(y.b)) <= {threshold} THEN levenshtein(y.a, y.b, {threshold}) >= 0
+      WHEN char_length(y.a) <= {LONG} THEN levenshtein(y.a, y.b, {threshold}) >= 0 AND {within_sql("y.a", "y.b", threshold)} ELSE {within_sql("y.a", "y.b", threshold)} END"""
+    cut = "transform(transform(array(named_struct('a', {0}, 'b', {1})), v -> named_struct('a', v.a, 'b', v.b, 'p', {2})), v -> named_struct('a', reverse(substring(v.a, v.p + 1)), 'b', reverse(substring(v.b, v.p + 1))))"
+    front = cut.format(a, b, _common("v.a", "v.b"))
+    both = f"flatten(transform({front}, f -> {cut.format('f.a', 'f.b', _common('v.a', 'v.b'))}))"
+    return f"if(char_length({a}) <= {LONG}, {short}, abs(char_length({a}) - char_length({b})) <= {threshold} AND exists({both}, y -> {left}))"
+
+
 # ------------------------------------------------------------- crowded keys
 #
 # A key says that two lines agree outside one hole that holds all edits, or outside
@@ -153,15 +183,14 @@ def _later(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     """(h) of the lines of which an earlier partner (a, b in any order) is within the threshold."""
     both = pairs.join(lines.select(F.col("h").alias("a"), F.col("first").alias("fa"), F.col("line").alias("la")), "a")
     both = both.join(lines.select(F.col("h").alias("b"), F.col("first").alias("fb"), F.col("line").alias("lb")), "b")
-    # the engine's own thresholded distance turns most candidates down cheaply
-    near = both.where(F.levenshtein("la", "lb", threshold) >= 0).where(within("la", "lb", threshold))
+    near = both.where(F.expr(near_sql("la", "lb", threshold)))
     return near.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct()
 
 
 def _in_blocks(entries: DataFrame, lines: DataFrame, threshold: int, block: int) -> DataFrame:
     """(h) of open lines near an earlier member of their key (columns members, opens:
     numbers of the key): blocks of open lines meet blocks of all lines as arrays."""
-    near = f"x -> exists(ys, y -> y.first < x.first AND (x.own OR y.own) AND levenshtein(x.line, y.line, {threshold}) >= 0 AND {within_sql('x.line', 'y.line', threshold)})"
+    near = f"x -> exists(ys, w -> w.first < x.first AND (x.own OR w.own) AND {near_sql('x.line', 'w.line', threshold)})"
     rows = entries.join(lines.select("h", "line"), "h")
     dealt = F.xxhash64("h", F.lit("block"))
     line, blocks = F.collect_list(F.struct("first", "h", "own", "line")), F.ceil(F.col("members") / block)
@@ -220,7 +249,7 @@ def deduplicated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars:
     left. Lines are cut into threshold + 1 segments: two lines within the threshold
     share one segment at a nearby place, so substrings of each line probe an index
     of (length, segment number, segment). Candidates are turned down by Spark's
-    thresholded edit distance or verified by `within`. Equal lines meet once, as
+    thresholded edit distance or verified by `within` (see `near_sql`). Equal lines meet once, as
     their first occurrence, so a line of a third of all documents is no hot key.
     A segment of more than ``crowd`` different lines of one length is not expanded
     into its pairs: see `_in_crowds` (there ``large`` and ``block``). Lines count as equal if lengths and 64-bit

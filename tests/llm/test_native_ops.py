@@ -238,6 +238,24 @@ def test_other_thresholds_in_crowds(spark):
         assert want and want == {r.doc_id for r in lines.deduplicated_lines(frame(spark, enumerate(texts)), t, crowd=1, block=20).where("n_removed > 0").collect()}
 
 
+@pytest.mark.parametrize("t", [1, 2])
+def test_near_long_lines(spark, t):
+    """Lines of thousands of characters: edits at the ends, close together and far apart."""
+    rng, rows = random.Random(t), []
+    for n in [999, 1001, 1500, 4097, 20_000]:
+        a = "".join(rng.choice("abé日 ") for _ in range(n))
+        for places in ([], [0], [n - 1], [0, n - 1], [n // 3, n // 3 + 1], [5, n // 2], [1, 2, n - 3], [n // 2, n // 2 + 1, n // 2 + 2]):
+            for kind in "sid":
+                b = list(a)
+                for k in sorted(places, reverse=True):
+                    b[k : k + 1] = {"s": ["#"], "i": [b[k], "#"], "d": []}[kind]
+                rows.append((a, "".join(b)))
+        rows += [(a, a + "zz"), ("zz" + a, a), (a, a + "zzz"), (a, a[::-1])]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(8)
+    for r in df.select("a", "b", F.expr(lines.near_sql("a", "b", t)).alias("ok")).collect():
+        assert r.ok == within_two(r.a, r.b, t), (len(r.a), len(r.b))
+
+
 def test_null_texts_stay_null(spark):
     for columns in (["doc_id", "text"], ["doc_id", "text", "words"]):
         rows = lines.deduplicated_lines(frame(spark, [(1, None), (2, "")]).select(*columns)).collect()
