@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .config import EngineConfig, GraphConfig, PqConfig, SearchConfig, sift1m
 from .errors import ErrorCode, InvalidArgument, NodeNotFound, NotInitialized
 from .operators import exact, graph, metrics, quantize, search, writelog
-from .sources import generate, vecs
+from .sources import files, generate, vecs
 
 
 @dataclass(frozen=True)
@@ -177,6 +177,40 @@ class VectorEngine:
             self._log.append(rows, self._log.next_id())
             self._pending = []
 
+    def index_writes(self) -> int:
+        """Fold the written rows into the base: live ones are inserted through the graph and
+        encoded, replaced and deleted ones leave it, and the log is empty again. The
+        number of rows that were written into the graph."""
+        self._need_index()
+        with self._lock:
+            old, new, _ = self._state()
+            done = self._log.manifest().select("segment_id").collect()
+            keep = old.select("node_id")
+            links = graph.edges(self._nodes.join(keep, "node_id", "left_semi")).join(keep.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+            left = links.groupBy(F.col("src").alias("node_id")).agg(F.collect_list("dst").alias("neighbors"))
+            nodes = keep.join(left, "node_id", "left").select("node_id", F.coalesce("neighbors", F.array().cast("array<long>")).alias("neighbors"))
+            old = old.select("node_id", "embedding")
+            tables = {
+                "base": old.unionByName(new), "nodes": graph.insert_nodes(nodes, old, new, self.config.graph) if not new.isEmpty() else nodes,
+                "codes": self._codes.join(keep, "node_id", "left_semi").unionByName(quantize.encode(new, self._book)),
+            }
+            temps = {name: files.temp_path(f"{self.path}/{name}") for name in tables}
+            for name, rows in tables.items():
+                rows.write.parquet(temps[name])
+            n = new.count()
+            for name, temp in temps.items():
+                files.commit_temp(self.spark, temp, f"{self.path}/{name}")
+            for r in done:
+                self._log.drop(r.segment_id)
+            self.spark.catalog.refreshByPath(self.path)
+            self.load()
+            return n
+
+    def compactor(self, **options) -> writelog.Compactor:
+        """Compaction of the log beside the writers."""
+        self._ready()
+        return writelog.Compactor(self._log, **options)
+
     def compact(self) -> int | None:
         self.flush()
         return self._log.compact()
@@ -233,7 +267,35 @@ class VectorEngine:
             raise NodeNotFound(node_id)
         return list(row.embedding)
 
+    # the graph
+    def is_built(self) -> bool:
+        return self._nodes is not None
+
+    def neighbors(self, node_id: int) -> list[int]:
+        self._need_index()
+        row = self._nodes.where(F.col("node_id") == node_id).first()
+        if row is None:
+            raise NodeNotFound(node_id)
+        return list(row.neighbors)
+
+    def nav_data(self) -> DataFrame:
+        """(node_id, neighbors, degree, entry): what a walk needs, with the entry marked."""
+        self._need_index()
+        entry = graph.medoid(self._base).select(F.col("node_id").alias("first"))
+        return self._nodes.crossJoin(F.broadcast(entry)).select("node_id", "neighbors", F.size("neighbors").alias("degree"), (F.col("node_id") == F.col("first")).alias("entry"))  # one row
+
+    def graph_stats(self) -> dict[str, int | None]:
+        """Nodes, edges, greatest degree and entry; zeros and no entry before the index is built."""
+        if self._nodes is None:
+            return {"nodes": 0, "edges": 0, "max_degree": 0, "entry": None}
+        n, e, m = self._nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("neighbors")), F.lit(0)), F.coalesce(F.max(F.size("neighbors")), F.lit(0))).first()
+        first = graph.medoid(self._base).first()
+        return {"nodes": n, "edges": e, "max_degree": m, "entry": first.node_id if first else None}
+
     # reports
+    def reset_stats(self) -> None:
+        self._samples = []
+
     def get_num_vectors(self) -> int:
         return self.vectors().count()
 
@@ -311,4 +373,8 @@ def run_benchmark(spark: SparkSession, path: str, vectors: str | None = None, n:
         out |= {"writes_per_s": writes / took[0], "searches_meanwhile": searched, "batch_ms": sum(latencies) / len(latencies), "batch_p99_ms": sorted(latencies)[min(len(latencies) * 99 // 100, len(latencies) - 1)]}
         back = engine.batch_search(fresh, 1)
         out["read_back"] = sum(bool(r) and r[0].node_id == first + i for i, r in enumerate(back)) / writes
+        # and through the graph, once the writes are in it
+        engine.index_writes()
+        back = engine.batch_search(fresh, 1)
+        out["found_by_graph"] = sum(bool(r) and r[0].node_id == first + i for i, r in enumerate(back)) / writes
     return out

@@ -254,6 +254,7 @@ class Compactor:
     def __init__(self, table: LogTable, every_s: float = 1.0, bytes_per_s: float | None = None, on_done: Callable[[int], None] | None = None):
         self.table, self.every_s, self.bytes_per_s, self.on_done = table, every_s, bytes_per_s, on_done
         self.done = 0
+        self.compacting = False
         self.error: Exception | None = None
         self._halt, self._go = threading.Event(), threading.Event()
         self._go.set()
@@ -290,9 +291,20 @@ class Compactor:
         n = self.table.manifest().groupBy("level").agg(F.count(F.lit(1)).alias("n"))
         return n.where(F.col("n") >= self.table.config.tables_to_compact).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+    def needs(self) -> bool:
+        """Whether some level has as many segments as a merge takes."""
+        return self.pending() > 0
+
+    def set_rate(self, bytes_per_s: float | None) -> None:
+        self.bytes_per_s = bytes_per_s
+
     def run_once(self) -> int | None:
         """One merge where there is something to merge; its segment's number."""
-        made = self.table.compact()
+        self.compacting = True
+        try:
+            made = self.table.compact()
+        finally:
+            self.compacting = False
         if made is not None:
             self.done += 1
             if self.on_done:

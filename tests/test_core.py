@@ -524,6 +524,55 @@ def test_cache_calls():
     for p in list(c.hot) + list(c.warm):
         c.pin(p)
     assert c.prefetch([7, 8, 9, 10]) == [7, 8] or len(c) == 4
+    c = cache.TwoQueueCache(CacheConfig(4, 0.5))
+    assert not c.get(1) and c.put(1) is None and c.in_warm(1) and c.get(1) and c.in_hot(1) and not c.in_warm(1) and c.hit_rate() == 0.5
+    assert c.get_and_pin(1) and c.is_pinned(1) and not c.get_and_pin(2)
+    c.prefetch([2, 3, 4])
+    c.update_in_degrees({2: 9, 3: 1})
+    assert c.in_degree == {2: 9, 3: 1} and c.set_capacity(2) == [2, 3] and len(c) == 2 and 1 in c
+
+
+def test_temp_files(spark, tmp_path):
+    from ambervec.sources import files
+
+    place = f"{tmp_path}/t"
+    with pytest.raises(ReadError):
+        files.commit_temp(spark, files.temp_path(place), place)
+    for n in (3, 5):
+        temp = files.temp_path(place)
+        spark.range(n).write.parquet(temp)
+        files.commit_temp(spark, temp, place)
+        assert spark.read.parquet(place).count() == n and not files.exists(spark, temp)
+    spark.range(1).write.parquet(files.temp_path(place))
+    assert files.remove_stale(spark, str(tmp_path), -10) == 1 and files.delete_path(spark, place) and not files.delete_path(spark, place)
+
+
+def test_writes_go_into_the_graph(spark, tmp_path, data):
+    from ambervec.engine import create_engine
+
+    e = create_engine(spark, f"{tmp_path}/e", EngineConfig(16, graph=GraphConfig(max_degree=8, candidates=30), pq=PqConfig(4, 16, 8)))
+    assert e.graph_stats() == {"nodes": 0, "edges": 0, "max_degree": 0, "entry": None} and not e.is_built()
+    e.load_dataset(table(spark, data))
+    e.build_index()
+    for i in range(5):
+        e.insert_with_id(200 + i, (data[i] + 7).tolist())
+    e.insert_with_id(9, (data[9] - 7).tolist())
+    e.delete_vector(4)
+    assert e.index_writes() == 6 and e._log.rows().count() == 0 and e.get_num_vectors() == 154
+    stats = e.graph_stats()
+    assert stats["nodes"] == 154 and stats["max_degree"] <= 8 and e.neighbors(202) and 4 not in {n for r in e._nodes.collect() for n in r.neighbors}
+    with pytest.raises(NodeNotFound):
+        e.neighbors(4)
+    asks = [(data[i] + 7).tolist() for i in range(5)] + [(data[9] - 7).tolist(), data[30].tolist()]
+    assert [r[0].node_id for r in e.batch_search(asks, 1)] == [200, 201, 202, 203, 204, 9, 30]
+    nav = e.nav_data().collect()
+    assert len(nav) == 154 and sum(r.entry for r in nav) == 1 and all(r.degree == len(r.neighbors) for r in nav)
+    e.search(data[3].tolist(), 2)
+    assert e.get_metrics()["queries"] == 1
+    e.reset_stats()
+    assert e.get_metrics()["queries"] == 0
+    c = e.compactor(every_s=0.05)
+    assert not c.needs() and not c.compacting and c.run_once() is None
 
 
 def test_queries_with_truth(spark):
@@ -540,7 +589,7 @@ def test_benchmark_and_command_line(spark, tmp_path, capsys):
     from ambervec.engine import create_engine, run_benchmark
 
     out = run_benchmark(spark, f"{tmp_path}/b", n=300, dimension=16, queries=20, subspaces=4, codes=16, writes=24)
-    assert out["recall"] >= 0.9 and out["read_back"] == 1 and out["searches_meanwhile"] >= 10 and out["writes_per_s"] > 0
+    assert out["recall"] >= 0.9 and out["read_back"] == 1 and out["found_by_graph"] >= 0.9 and out["searches_meanwhile"] >= 10 and out["writes_per_s"] > 0
     x = np.random.default_rng(3).normal(size=(300, 16)).astype(np.float32)
     vecs.write_vecs(x, f"{tmp_path}/a.fvecs")
     vecs.write_vecs(x[:5] + 9, f"{tmp_path}/new.fvecs")
