@@ -9,6 +9,7 @@ from math import ceil, log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ambervec.llm import chat, hmm, lines, near_dedup, packing, quality, substrings, token_counts
 from ambervec.llm.registry import QUERIES, SQL
@@ -161,7 +162,7 @@ def test_quality_sample_is_bounded_and_whole(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     labels = spark.read.parquet(f"{folder[0]}/labels.parquet")
     assert quality.fit_quality(docs.where("length(text) > 50"), labels, sample_bytes=640) is None
-    twice = docs.unionByName(docs.where("doc_id < 50").withColumn("text", docs.text + docs.text))
+    twice = docs.unionByName(docs.where("doc_id < 50").withColumn("text", F.concat("text", "text")))
     a, b = (quality.fit_quality(df, labels, 60) for df in (twice, twice.repartition(7)))
     assert (a.taps == b.taps).all()  # the text of an id that has two is fixed
     none = docs.limit(0)
