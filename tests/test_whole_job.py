@@ -95,3 +95,11 @@ def test_beams_leave_a_dense_group(spark):
     assert metrics.recall_micro(found, truth, 10).first().recall >= 0.9
     narrow = search.beam_search(base, nodes, q, SearchConfig(10, 10), least=0)  # the width that was asked for is not enough
     assert metrics.recall_micro(narrow, truth, 10).first().recall < 0.9
+
+
+def test_inserted_rows_meet_rows_outside_a_dense_group(spark):
+    x, base, nodes = dense_group(spark)
+    fresh = spark.createDataFrame([(1000 + i, [float(v) for v in x[i] + 0.01]) for i in range(0, 400, 40)], "node_id long, embedding array<float>")
+    grown = graph.insert_nodes(nodes, base, fresh, GraphConfig(max_degree=8, candidates=20), shards=1)
+    lists = {r.node_id: r.neighbors for r in grown.where("node_id >= 1000").collect()}
+    assert len(lists) == 10 and all(i - 1000 in near for i, near in lists.items())
