@@ -9,9 +9,9 @@ from .common import documents, drop_staged, staged
 
 THRESHOLD, LEAST_CHARS = 2, 24  # two edits in 24 characters: a share of 1/12
 EXACT_CHARS = 4
-# open members of a key whose pairs are compared as rows, those that are compared in
-# blocks, lines of a block
-CROWD, LARGE, BLOCK = 32, 1024, 128
+# members of a key that are met as rows (the rows that a join makes of each line's key are
+# at most as many), open ones that are compared in blocks, lines of a block
+CROWD, LARGE, BLOCK = 8, 1024, 128
 BROADCAST_KEYS = 1 << 20  # 8 MB of keys
 _LAST = (1 << 63) - 1
 

@@ -230,6 +230,24 @@ def test_crowded_segments(spark, kind, most, crowd, large, block):
     assert {texts[r.doc_id] for r in out.collect()} == {long[k] for k in near_earlier(long)}
 
 
+def test_lines_of_one_segment_are_no_pairs(spark, monkeypatch):
+    """30 different lines that share a segment make a row each, not one for each pair."""
+    rows, staged = {}, lines.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    rng = random.Random(8)
+    texts = ["the same twenty chars" + "".join(rng.choices("abcdefghij", k=42)) for _ in range(30)]
+    texts.append(texts[0][:-1] + "z")
+    out = lines.deduplicated_lines(frame(spark, enumerate(texts))).where("n_removed > 0")
+    assert [r.doc_id for r in out.collect()] == [30]
+    assert rows["met"] < 200
+
+
 def test_other_thresholds_in_crowds(spark):
     """Blocks give what pairs give; finer holes are for two edits."""
     texts = list(dict.fromkeys(crowds()["short"]))[:150]
