@@ -21,6 +21,10 @@ NODES = "node_id long, neighbors array<long>"
 # ------------------------------------------------------------- primitives
 
 
+def _none() -> Column:
+    return F.array().cast("array<long>")
+
+
 def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node_id").alias("src"), F.explode("neighbors").alias("dst"))
 
@@ -303,13 +307,58 @@ def build_graph(base: DataFrame, config: GraphConfig = GraphConfig(), exact_rows
     clusters), candidates are exact.
     A popular node gets many reverse edges; the nearest ``4 * candidates`` of them
     go to the second prune, ranked before they are gathered.
+    Of rows with the same vector the one of the least id takes part in this; the others
+    hang on it (see `_copies`), as more copies than candidates would meet nothing else.
     """
     if config.max_degree < 1:
         raise InvalidArgument("max_degree must be positive")
+    copies = _copies(base, config.max_degree)
+    base = _without_copies(base, copies)
     near = near_candidates(base, config, exact_rows, cell_rows)
     first = robust_prune(_with_vectors(near, base), config)
     both = _nearest_only(reverse_edges(first), base, 4 * config.candidates)
-    return robust_prune(_with_vectors(both, base), config)
+    return _with_copies(robust_prune(_with_vectors(both, base), config), copies, config.max_degree)
+
+
+def _copies(base: DataFrame, max_degree: int) -> DataFrame | None:
+    """(node_id, head, near) of the rows whose vector other rows have too, None if there are none.
+
+    ``head`` is the least id with the vector. The rows are a tree in the order of their
+    ids, two below each, and ``near`` has a row's links in it, both ways. So the least
+    ids are met first, from any of them. Ranks come from a sort by (head, id), where a
+    large group lies in many parts.
+    """
+    below = min(2, max_degree - 1)
+    if below < 1:
+        return None
+    same = base.where("embedding is not null").groupBy("embedding").agg(F.min("node_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = base.select("node_id", "embedding").join(same, "embedding").select("head", "node_id").orderBy("head", "node_id")
+    rows = written(rows.withColumn("part", F.spark_partition_id()), scratch_dir(base.sparkSession, "copies"))
+    if rows.isEmpty():
+        return None
+    rows = rows.withColumn("no", F.row_number().over(W.partitionBy("part").orderBy("head", "node_id")))
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = rows.join(F.broadcast(sizes), "part").withColumn("no", F.col("no") + F.col("before"))  # a row a part
+    firsts = rows.groupBy("part", "head").agg(F.min("no").alias("first")).withColumn("first", F.min("first").over(W.partitionBy("head")))
+    rows = rows.join(firsts, ["part", "head"]).select("head", "node_id", (F.col("no") - F.col("first")).alias("r"))
+    lower = rows.where("r > 0").select("head", F.floor((F.col("r") - 1) / below).alias("r"), F.col("node_id").alias("other"))
+    down = rows.join(lower, ["head", "r"]).where("node_id <> other").select("node_id", "head", "other")
+    both = down.unionByName(down.select(F.col("other").alias("node_id"), "head", F.col("node_id").alias("other")))
+    return written(both.groupBy("node_id", "head").agg(F.array_sort(F.collect_set("other")).alias("near")), scratch_dir(base.sparkSession, "copies"))
+
+
+def _without_copies(base: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """The rows without those that have the vector of a row of a smaller id."""
+    return base if copies is None else base.join(copies.where("node_id <> head").select("node_id"), "node_id", "left_anti")
+
+
+def _with_copies(nodes: DataFrame, copies: DataFrame | None, max_degree: int) -> DataFrame:
+    """The graph with the links of ``copies`` first in the lists; rows without a list get one."""
+    if copies is None:
+        return nodes
+    both = F.array_union(F.coalesce("near", _none()), F.coalesce("neighbors", _none()))
+    return nodes.join(copies.select("node_id", "near"), "node_id", "full_outer").select("node_id", F.when(F.col("near").isNull(), F.col("neighbors")).otherwise(F.slice(both, 1, max_degree)).alias("neighbors"))
 
 
 def _nearest_only(pairs: DataFrame, base: DataFrame, most: int) -> DataFrame:
@@ -322,23 +371,32 @@ def _nearest_only(pairs: DataFrame, base: DataFrame, most: int) -> DataFrame:
 def insert_nodes(nodes: DataFrame, base: DataFrame, fresh: DataFrame, config: GraphConfig = GraphConfig(), shards: int | None = None) -> DataFrame:
     """Add rows to a graph. Candidates of a fresh row are what a beam search of the graph
     finds for it, and its nearest other fresh rows; they are pruned, reverse edges are
-    added, and only lists over ``max_degree`` are pruned again. Work grows with the
-    fresh rows, not with the base times them. An empty graph gives a built one."""
+    added, and only lists over ``max_degree`` are pruned again. Copies of a vector hang on
+    the least id that has it, whichever of them are fresh (see `_copies`). Beams and lists
+    grow with the fresh rows, not with the base times them. An empty graph gives a built
+    one."""
     from .search import beam_search
 
     if nodes.isEmpty():
         return build_graph(fresh, config)
-    everything = base.select("node_id", "embedding").unionByName(fresh.select("node_id", "embedding"))
-    q = fresh.select(F.col("node_id").alias("query_id"), "embedding")
+    spark, everything = base.sparkSession, base.select("node_id", "embedding").unionByName(fresh.select("node_id", "embedding"))
+    former, copies = _copies(base, config.max_degree), _copies(everything, config.max_degree)
+    hidden = None
+    if former is not None:  # the tree is made anew
+        hidden = former.where("node_id <> head").select("node_id")
+        nodes = nodes.join(former.select("node_id", "near"), "node_id", "left").select("node_id", F.when(F.col("near").isNull(), F.col("neighbors")).otherwise(F.array_except("neighbors", "near")).alias("neighbors"))
+    fresh = _without_copies(fresh, copies)
+    q = fresh.select(F.col("node_id").alias("query_id"), "embedding").repartition("query_id")
     walk = SearchConfig(k=config.candidates, ef=config.candidates)
-    near = beam_search(base, nodes, q, walk, shards=shards).select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"))
+    near = beam_search(base, nodes, q, walk, shards=shards, hidden=hidden).select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"))
     near = near.unionByName(near_candidates(fresh, config, 100_000, 10_000)).where("src <> dst").distinct()
-    added = robust_prune(_with_vectors(near, everything).join(fresh.select("node_id"), "node_id", "left_semi"), config)
+    added = written(robust_prune(_with_vectors(near, everything).join(fresh.select("node_id"), "node_id", "left_semi"), config), scratch_dir(spark, "added"))
     back = edges(added).select(F.col("dst").alias("node_id"), F.col("src").alias("other")).groupBy("node_id").agg(F.collect_set("other").alias("more"))
-    grown = nodes.unionByName(added).join(back, "node_id", "left").select("node_id", F.array_union("neighbors", F.coalesce("more", F.array().cast("array<long>"))).alias("neighbors"))
+    grown = nodes.unionByName(added).join(back, "node_id", "left").select("node_id", F.array_union("neighbors", F.coalesce("more", _none())).alias("neighbors"))
+    grown = written(grown, scratch_dir(spark, "grown"))
     over = grown.where(F.size("neighbors") > config.max_degree)
     again = robust_prune(_with_vectors(edges(over), everything).join(over.select("node_id"), "node_id", "left_semi"), config)
-    return grown.where(F.size("neighbors") <= config.max_degree).unionByName(again)
+    return _with_copies(grown.where(F.size("neighbors") <= config.max_degree).unionByName(again), copies, config.max_degree)
 
 
 def next_hop(frontier: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:

@@ -103,3 +103,38 @@ def test_inserted_rows_meet_rows_outside_a_dense_group(spark):
     grown = graph.insert_nodes(nodes, base, fresh, GraphConfig(max_degree=8, candidates=20), shards=1)
     lists = {r.node_id: r.neighbors for r in grown.where("node_id >= 1000").collect()}
     assert len(lists) == 10 and all(i - 1000 in near for i, near in lists.items())
+
+
+def test_many_copies_of_a_vector_stay_in_the_graph(spark):
+    """60 rows of one vector and 12 of another, more than there are candidates; some of them inserted."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (300, 16)).astype(np.float32)
+    x[rng.permutation(300)[:60]] = x[7]
+    x[290:] = x[289]
+    base = table(spark, x)
+    old, fresh = base.where("node_id % 10 <> 0"), base.where("node_id % 10 = 0")
+    conf = GraphConfig(max_degree=16, candidates=20)
+    built = spark.createDataFrame(graph.build_graph(old, conf).collect(), graph.NODES)
+    grown = spark.createDataFrame(graph.insert_nodes(built, old, fresh, conf, shards=1).collect(), graph.NODES)
+    for nodes, n in ((built, 270), (grown, 300)):
+        lists = {r.node_id: r.neighbors for r in nodes.collect()}
+        assert len(lists) == n and all(len(set(near) - {i}) == len(near) <= 16 for i, near in lists.items())
+        seen = todo = {graph.medoid(old).first().node_id}
+        while todo:
+            todo = {j for i in todo for j in lists[i]} - seen
+            seen = seen | todo
+        assert seen == set(lists)
+    q = asked(base, 3)
+    found = search.beam_search(base, grown, q, SearchConfig(10, 20), shards=1, least=0)
+    assert metrics.recall_micro(found, exact.exact_knn(base, q, 10), 10).first().recall >= 0.9
+
+
+def test_measured_recall_knows_ties(spark):
+    """Of more equal rows than are asked for, the least ids are the true ones."""
+    x = np.random.default_rng(8).normal(0, 1, (4001, 64)).astype(np.float32)
+    x[1::2] = x[1]
+    index = search._Index(np.arange(4001), x, np.arange(4002), (np.arange(4001) + 1) % 4001, 0)
+    norms = np.einsum("ij,ij->i", x, x)
+    for i in range(1, 40, 2):
+        assert index.nearest(x[i] + np.float64(0.001) * x[i + 1], 10, norms) == set(range(1, 21, 2))
+    assert len(index.nearest(x[0], 4001, norms)) == 4001
